@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.plans.workers import ship
+
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """``<directory>/<name>.parquet``; columns are pruned by Catalyst at the scan."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
