@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import canon, tokens
+from codeloom.llm import canon, neardup, tokens
 
-MODULES = (canon, tokens)
+MODULES = (neardup, canon, tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
