@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import canon, neardup, tokens
+from codeloom.llm import canon, crosssplit, neardup, tokens
 
-MODULES = (neardup, canon, tokens)
+MODULES = (neardup, canon, crosssplit, tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
