@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import canon, crosssplit, neardup, spans, tokens
+from codeloom.llm import canon, crosssplit, leak, neardup, spans, tokens
 
-MODULES = (neardup, canon, spans, crosssplit, tokens)
+MODULES = (neardup, canon, spans, crosssplit, tokens, leak)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
