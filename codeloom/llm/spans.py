@@ -37,6 +37,9 @@ LENGTH = 120
 GRAM = 48
 #: Windows of one signature that are compared pair by pair, at most.
 PAIRWISE = 48
+#: Windows of one signature in one batch that make it hot, and the parts its rows are split into.
+HOT = 64
+SALTS = 1024
 #: Characters hashed at once.
 CHUNK = 4_000_000
 
@@ -120,54 +123,112 @@ def _pieces(texts: list[str]) -> Iterator[list[int]]:
 
 
 def _windows(length: int):
-    """mapInArrow: (cid, lo, hi, text) to (sign, cid, lo, hi, centre)."""
+    """mapInArrow: (rec, field, text) to WINDOWS rows.
+
+    A signature with HOT windows of several records in one batch is known to be shared. Its
+    rows get a salt, and one row with centre -1 goes the common way for the batch, so that the
+    other holders of the signature learn of it: no task gets a third of all rows for one key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = length - GRAM + 1
         for batch in batches:
-            texts = batch.column(3).to_pylist()
+            texts = batch.column(2).to_pylist()
             for group in _pieces(texts):
                 chars, begins = code_points([texts[i] for i in group])
                 hashes = gram_hashes(chars, GRAM)
                 own, centres = [], []
-                for at, i in enumerate(group):
+                for at in range(len(group)):
                     begin, size = int(begins[at]), int(begins[at + 1] - begins[at])
                     if size < length:
                         continue
-                    for _, centre, _ in compact_windows(hashes[begin : begin + size - GRAM + 1], width):
-                        own.append(i)
-                        centres.append(begin + centre)
-                rows, at = np.array(own, np.int64), np.array(centres, np.int64)
-                starts = begins[:-1][np.searchsorted(np.array(group), rows)] if len(rows) else at
-                take = pa.array(rows)
+                    found = compact_windows(hashes[begin : begin + size - GRAM + 1], width)
+                    own.extend([at] * len(found))
+                    centres.extend([begin + centre for _, centre, _ in found])
+                at, places = np.array(own, np.int64), np.array(centres, np.int64)
+                signs = hashes[places].view(np.int64) if len(places) else np.empty(0, np.int64)
+                rows = np.array(group, np.int64)[at] if len(at) else at
+                recs = batch.column(0).to_numpy()[rows]
+                salt, extra = _salts(signs, recs)
+                both = np.concatenate([np.arange(len(signs)), extra])
+                centre = np.concatenate([places - begins[at], np.full(len(extra), -1)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(hashes[at].view(np.int64) if len(at) else np.empty(0, np.int64)),
-                        batch.column(0).take(take),
-                        batch.column(1).take(take),
-                        batch.column(2).take(take),
-                        pa.array((at - starts).astype(np.int32)),
+                        pa.array(signs[both]),
+                        pa.array(np.concatenate([salt, np.zeros(len(extra))]).astype(np.int32)),
+                        pa.array(recs[both]),
+                        batch.column(1).take(pa.array(rows[both])),
+                        pa.array(centre.astype(np.int32)),
                     ],
-                    names=["sign", "cid", "lo", "hi", "centre"],
+                    names=["sign", "salt", "rec", "field", "centre"],
                 )
 
     return run
 
 
-WINDOWS = "sign long, cid long, lo long, hi long, centre int"
+WINDOWS = "sign long, salt int, rec long, field int, centre int"
+
+
+def _salts(signs: np.ndarray, recs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A salt for each window, 0 for those of no hot signature, and one row of each hot one."""
+    salt = np.zeros(len(signs), np.int64)
+    values, first, which, counts = np.unique(signs, return_index=True, return_inverse=True, return_counts=True)
+    extra = []
+    for hot in np.flatnonzero(counts >= HOT):
+        rows = np.flatnonzero(which == hot)
+        if (recs[rows] != recs[rows[0]]).any():
+            salt[rows] = 1 + (mix(recs[rows].view(np.uint64)) % np.uint64(SALTS)).astype(np.int64)
+            extra.append(first[hot])
+            other = rows[recs[rows] != recs[rows[0]]][0]
+            extra.append(other)
+    return salt, np.array(extra, np.int64)
+
+
+def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """WINDOWS sorted by (sign, salt) to (sign, rec, field, centre) of shared signatures."""
+
+    def pick(table: pa.Table) -> pa.RecordBatch:
+        signs, salt = table.column("sign").to_numpy(), table.column("salt").to_numpy()
+        recs, centre = table.column("rec").to_numpy(), table.column("centre").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]])) if len(signs) else np.empty(0, np.int64)
+        shared = np.zeros(0, bool)
+        if len(starts):
+            several = np.minimum.reduceat(recs, starts) != np.maximum.reduceat(recs, starts)
+            shared = np.repeat(several, np.diff(np.concatenate([starts, [len(signs)]])))
+        keep = (shared | (salt > 0)) & (centre >= 0)
+        out = table.filter(pa.array(keep)).select(["sign", "rec", "field", "centre"]).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in out.columns], names=out.column_names)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        signs = batch.column(0).to_numpy()
+        last = int(np.searchsorted(signs, signs[-1]))  # the last run may go on
+        if held and signs[0] == held[-1].column(0)[0].as_py() and last == 0:
+            held.append(batch)
+            continue
+        done = held + [batch.slice(0, last)]
+        held = [batch.slice(last)]
+        yield pick(pa.Table.from_batches(done))
+    if held:
+        yield pick(pa.Table.from_batches(held))
+
+
+SHARED = "sign long, rec long, field int, centre int"
 
 
 def _cut(length: int):
-    """mapInArrow: (cid, lo, hi, text, signs, centres) to the text around each centre."""
+    """mapInArrow: a field and its kept windows to CUTS rows, the text around each centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = length - GRAM
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
-            for cid, lo, hi, text, signs, centres in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                for sign, centre in zip(signs, centres, strict=True):
+            out: list[list] = [[] for _ in _CUT_NAMES]
+            for rec, field, lo, hi, text, signs, centres, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for sign, centre, often in zip(signs, centres, many, strict=True):
                     begin = max(0, centre - reach)
-                    row = (sign, cid, lo, hi, centre, text[begin:centre], text[centre : centre + GRAM + reach])
+                    row = (sign, often, rec, field, lo, hi, centre, text[begin:centre], text[centre : centre + GRAM + reach])
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
@@ -177,9 +238,13 @@ def _cut(length: int):
     return run
 
 
-CUTS = "sign long, cid long, lo long, hi long, centre int, before string, after string"
-_CUT_NAMES = ["sign", "cid", "lo", "hi", "centre", "before", "after"]
-_CUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+CUTS = (
+    "sign long, many boolean, rec long, field int, lo long, hi long, centre int, before string, after string"
+)
+_CUT_NAMES = ["sign", "many", "rec", "field", "lo", "hi", "centre", "before", "after"]
+_CUT_TYPES = [
+    pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()
+]
 
 
 def _common(a: str, b: str) -> int:
@@ -198,18 +263,18 @@ def _common(a: str, b: str) -> int:
 
 
 def _compare(length: int):
-    """mapInArrow over CUTS sorted by sign: (cid, start, end) of matches in other records.
+    """mapInArrow over CUTS sorted by sign: SPANS of matches in other records.
 
     Runs of one sign have at most PAIRWISE rows; equal surroundings are compared once.
     """
 
-    def matches(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
+    def matches(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
         groups: dict[tuple[str, str], list[tuple]] = {}
         for row in rows:
-            groups.setdefault((row[5][::-1], row[6]), []).append(row)
+            groups.setdefault((row[7][::-1], row[8]), []).append(row)
         keys = list(groups)
-        lows = [min(r[2] for r in groups[k]) for k in keys]
-        highs = [max(r[3] for r in groups[k]) for k in keys]
+        lows = [min(r[4] for r in groups[k]) for k in keys]
+        highs = [max(r[5] for r in groups[k]) for k in keys]
         for i, (before, after) in enumerate(keys):
             spans = set()
             for j, (other_before, other_after) in enumerate(keys):
@@ -218,8 +283,8 @@ def _compare(length: int):
                     spans.add((left, right, lows[j], highs[j]))
             for row in groups[(before, after)]:
                 for left, right, low, high in spans:
-                    if row[2] != low or row[3] != high or low != high:
-                        yield row[1], row[4] - left, row[4] + right - 1
+                    if row[4] != low or row[5] != high or low != high:
+                        yield row[2], row[3], row[6] - left, row[6] + right - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_rows: list[tuple] = []
@@ -236,43 +301,43 @@ def _compare(length: int):
     return run
 
 
-SPANS = "cid long, start int, stop int"
+SPANS = "rec long, field int, start int, stop int"
 
 
 def _spans_batch(rows) -> pa.RecordBatch:
     unique = list(set(rows))
-    columns = list(zip(*unique, strict=True)) if unique else [[], [], []]
+    columns = list(zip(*unique, strict=True)) if unique else [[]] * 4
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
     return pa.RecordBatch.from_arrays(
-        [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())],
-        names=["cid", "start", "stop"],
+        [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["rec", "field", "start", "stop"]
     )
 
 
 def _hash_pieces(length: int):
-    """mapInArrow over CUTS: (piece, cid, lo, hi, start) of every piece that holds the centre."""
+    """mapInArrow over CUTS: PIECES, one row for every piece that holds the centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before, after = batch.column(5).to_pylist(), batch.column(6).to_pylist()
+            before, after = batch.column(7).to_pylist(), batch.column(8).to_pylist()
             chars, begins = code_points([x + y for x, y in zip(before, after, strict=True)])
             hashes = gram_hashes(chars, length)
             sizes = np.diff(begins) - length + 1
             counts = np.maximum(sizes, 0)
             rows = np.repeat(np.arange(batch.num_rows), counts)
             offsets = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-            start = batch.column(4).to_numpy() - np.array([len(x) for x in before], np.int64)
+            start = batch.column(6).to_numpy() - np.array([len(x) for x in before], np.int64)
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes[begins[:-1][rows] + offsets].view(np.int64))]
-                + [batch.column(i).take(take) for i in (1, 2, 3)]
+                + [batch.column(i).take(take) for i in (2, 3, 4, 5)]
                 + [pa.array((start[rows] + offsets).astype(np.int32))],
-                names=["piece", "cid", "lo", "hi", "start"],
+                names=["piece", "rec", "field", "lo", "hi", "start"],
             )
 
     return run
 
 
-PIECES = "piece long, cid long, lo long, hi long, start int"
+PIECES = "piece long, rec long, field int, lo long, hi long, start int"
 
 
 def shared_spans(fields: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -282,49 +347,73 @@ def shared_spans(fields: DataFrame, length: int = LENGTH) -> DataFrame:
     characters that lie in a piece of ``length`` that stands in another record.
     """
     fields = fields.where(F.length("text") >= length)
-    # Equal fields: one class with the least and the greatest record that holds it.
-    key = (F.xxhash64("text"), F.xxhash64(F.lit("second"), "text"))
-    keyed = fields.select("rec", "field", key[0].alias("t1"), key[1].alias("t2"), F.length("text").alias("size"))
-    keyed = persist_table(keyed, "fields")
+    keyed = persist_table(
+        fields.select(
+            "rec",
+            "field",
+            F.xxhash64("text").alias("t1"),
+            F.xxhash64(F.lit("second"), "text").alias("t2"),
+            F.length("text").alias("size"),
+        ),
+        "fields",
+    )
+    # Equal fields are one class; its least field stands for it, lo and hi bound its records.
     classes = keyed.groupBy("t1", "t2").agg(
-        F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.min(F.struct("rec", "field")).alias("at"), F.first("size").alias("size")
+        F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.min(F.struct("rec", "field")).alias("at")
     )
-    classes = persist_table(
-        classes.select("t1", "t2", F.xxhash64("t1", "t2").alias("cid"), "lo", "hi", "at.rec", "at.field", "size"), "classes"
+    classes = persist_table(classes.select("t1", "t2", "lo", "hi", "at.rec", "at.field"), "classes")
+    shared = persist_table(
+        fields.select("rec", "field", "text")
+        .mapInArrow(_windows(length), WINDOWS)
+        .repartition("sign", "salt")
+        .sortWithinPartitions("sign", "salt")
+        .mapInArrow(_shared_only, SHARED),
+        "windows",
     )
-    texts = persist_table(fields.join(classes.select("rec", "field", "cid", "lo", "hi"), ["rec", "field"]).select("cid", "lo", "hi", "text"), "texts")
-    windows = persist_table(texts.mapInArrow(_windows(length), WINDOWS), "windows")
-    signs = windows.groupBy("sign").agg(
-        F.min("lo").alias("low"), F.max("hi").alias("high"), F.count(F.lit(1)).alias("n")
+    # Signatures that several classes of different records hold; copies count once.
+    own = shared.join(classes.select("rec", "field", "lo", "hi"), ["rec", "field"])
+    signs = own.groupBy("sign").agg(
+        F.min("lo").alias("low"),
+        F.max("hi").alias("high"),
+        F.min(F.struct("rec", "field")).alias("a"),
+        F.max(F.struct("rec", "field")).alias("b"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    signs = signs.where("low <> high AND a <> b").select("sign", (F.col("n") > PAIRWISE).alias("many"))
+    kept = (
+        own.join(signs, "sign")
+        .groupBy("rec", "field")
+        .agg(
+            F.first("lo").alias("lo"),
+            F.first("hi").alias("hi"),
+            F.collect_list(F.struct("sign", "centre", "many")).alias("at"),
+        )
     )
-    signs = signs.where("low <> high AND n > 1").select("sign", (F.col("n") > PAIRWISE).alias("many"))
-    kept = windows.join(signs, "sign").groupBy("cid").agg(F.collect_list(F.struct("sign", "centre", "many")).alias("at"))
     cuts = persist_table(
-        texts.join(kept, "cid")
-        .select("cid", "lo", "hi", "text", F.col("at.sign").alias("signs"), F.col("at.centre").alias("centres"))
-        .mapInArrow(_cut(length), CUTS)
-        .join(signs, "sign"),
+        fields.join(kept, ["rec", "field"])
+        .select("rec", "field", "lo", "hi", "text", "at.sign", "at.centre", "at.many")
+        .mapInArrow(_cut(length), CUTS),
         "cuts",
     )
     few = (
         cuts.where("NOT many")
-        .select(*_CUT_NAMES)
         .repartition("sign")
         .sortWithinPartitions("sign")
         .mapInArrow(_compare(length), SPANS)
     )
-    pieces = cuts.where("many").select(*_CUT_NAMES).mapInArrow(_hash_pieces(length), PIECES)
+    pieces = cuts.where("many").mapInArrow(_hash_pieces(length), PIECES)
     common = pieces.groupBy("piece").agg(F.min("lo").alias("low"), F.max("hi").alias("high")).where("low <> high")
-    many = pieces.join(common.select("piece"), "piece").select(
-        "cid", "start", (F.col("start") + length - 1).alias("stop")
+    often = pieces.join(common.select("piece"), "piece").select(
+        "rec", "field", "start", (F.col("start") + length - 1).alias("stop")
     )
-    whole = classes.where("lo <> hi").select("cid", F.lit(0).alias("start"), (F.col("size") - 1).alias("stop"))
-    found = few.unionByName(many).unionByName(whole)
-    merged = found.groupBy("cid").agg(_merge(F.collect_set(F.struct("start", "stop"))).alias("runs"))
+    found = few.unionByName(often).groupBy("rec", "field").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    classes = classes.join(found, ["rec", "field"], "left").where("lo <> hi OR spans IS NOT NULL")
+    classes = classes.select("t1", "t2", F.when(F.col("lo") == F.col("hi"), _merge("spans")).alias("runs"))
+    # A field that other records hold as a whole is shared from end to end.
+    whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("size") - 1).alias("stop")))
     return (
-        keyed.join(classes.select("t1", "t2", "cid"), ["t1", "t2"])
-        .join(merged, "cid")
-        .select("rec", "field", F.explode("runs").alias("run"))
+        keyed.join(classes, ["t1", "t2"])
+        .select("rec", "field", F.explode(F.coalesce("runs", whole)).alias("run"))
         .select(
             "rec",
             "field",
@@ -334,7 +423,7 @@ def shared_spans(fields: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
-def _merge(spans: F.Column) -> F.Column:
+def _merge(spans: str) -> F.Column:
     """Sorted spans, those that touch or overlap joined into one."""
     empty = F.array().cast("array<struct<start:int,stop:int>>")
 
