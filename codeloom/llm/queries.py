@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import canon, crosssplit, leak, neardup, residue, spans, tokens
+from codeloom.llm import canon, crosssplit, leak, neardup, pairs, residue, spans, tokens
 
-MODULES = (neardup, canon, spans, crosssplit, tokens, leak, residue)
+MODULES = (pairs, neardup, canon, spans, crosssplit, tokens, leak, residue)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
