@@ -5,15 +5,22 @@ class; classes are split on sampled shared tokens (min-hash positions of their s
 the ROOT_RUNS independent runs taking another position. A node with at most BRUTE_FORCE
 members is compared pair by pair; a larger one is split again, on CHILD_SPLITS further
 positions, down to DEPTH splits. What is still large then goes to an exact prefix-filter join
-(rarest tokens of each set), so no bucket is ever cut short. Candidates are verified exactly
-on the sets.
+(rarest tokens of each set), so no bucket is ever cut short. Pairs of small nodes pass a
+sketch of SKETCH_BITS one-bit min-hashes and are then verified exactly on the texts.
 
 Recall: a pair with similarity s shares a root node with probability 1 - (1 - s) ** ROOT_RUNS,
-that is 0.999994 at the threshold of 0.7, more above it.
+that is 0.999994 at the threshold of 0.7, more above it; where every token of a pair is a hot
+one, each further split costs a run 0.09 of that. The sketch turns away a pair at the threshold
+with a probability of 3e-6 (fewer than SKETCH_AGREE of 64 bits equal, each equal with 0.85) and
+lets one in forty unrelated pairs through.
+
+Skew: copies are joined as one class first. A node with more than BRUTE_FORCE members in one
+batch is known to be large: its rows are spread over salts and one row per batch tells the
+other holders, so that no task gets all rows of a hot token.
 
 Defined cases: null, empty and short texts have no runs and take part in no pair; copies
 under the canonical key are no pair; repeated rows appear as members of their class; ids are
-unique per table, extra columns are ignored; empty tables give empty results.
+unique per table and below 2 ** 59, extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.canon import canonical_key
+from codeloom.llm.canon import canonical_json, canonical_key, canonical_text
 from codeloom.llm.shingles import list_array, mix, run_sets, slices
 from codeloom.plans.durable import persist_table
 from codeloom.sources.tables import table
@@ -37,22 +44,32 @@ WORDS = 3
 SHARE, OF = 7, 10
 TARGET_RECALL = 0.99999
 ROOT_RUNS = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - SHARE / OF))
-CHILD_SPLITS = 3
+CHILD_SPLITS = 2
 DEPTH = 2
 POSITIONS = ROOT_RUNS + CHILD_SPLITS * DEPTH
-BRUTE_FORCE = 40
+BRUTE_FORCE = 250
+SKETCH_BITS = 64
+SKETCH_AGREE = 42
+#: Parts that the rows of a hot node are spread over.
+SALTS = 1024
+#: Bits of the filter that keeps texts without a candidate from being moved: 4 MB at any size.
+FILTER_BITS = 25
+#: A class or row is named by id * TABLES + rec.
+TABLES = 16
 
 _FACTORS = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _TERMS = mix(np.arange(1001, 1001 + POSITIONS, dtype=np.uint64))
+_SKETCH = (mix(np.arange(2001, 2001 + SKETCH_BITS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_PARITY = np.uint32(0x85EBCA6B)
 
-FEATURES = "rec int, id long, c1 long, c2 long, n int, sid long, mins array<int>"
+FEATURES = "key long, c1 long, c2 long, n int, sid long, sketch long, mins array<int>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text: size and identity of its set and a min-hash at every position."""
+    """Of each text: size and identity of its set, a sketch, a min-hash at every position."""
     for whole in batches:
         for batch in slices(whole):
-            runs, counts = run_sets(batch.column(4), WORDS)
+            runs, counts = run_sets(batch.column(3), WORDS)
             has = counts > 0
             if not has.any():
                 continue
@@ -62,164 +79,281 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p in range(POSITIONS):
                 low = np.minimum.reduceat(runs * _FACTORS[p] + _TERMS[p], starts)
                 mins[:, p] = (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            short, sketch = (runs >> np.uint64(16)).astype(np.uint32), np.zeros(len(starts), np.uint64)
+            for bit in range(SKETCH_BITS):
+                low = np.minimum.reduceat(short * _SKETCH[bit], starts)
+                sketch |= ((low * _PARITY >> np.uint32(31)).astype(np.uint64)) << np.uint64(bit)
             keep = pa.array(has)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i).filter(keep) for i in range(4)]
+                [batch.column(i).filter(keep) for i in range(3)]
                 + [
                     pa.array(counts[has].astype(np.int32)),
                     pa.array(identity.view(np.int64)),
+                    pa.array(sketch.view(np.int64)),
                     list_array(mins.ravel(), np.full(len(starts), POSITIONS)),
                 ],
-                names=["rec", "id", "c1", "c2", "n", "sid", "mins"],
-            )
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole):
-            runs, counts = run_sets(batch.column(2), WORDS)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), list_array(runs.view(np.int64), counts)], names=["rec", "cid", "runs"]
+                names=["key", "c1", "c2", "n", "sid", "sketch", "mins"],
             )
 
 
 def features(texts: DataFrame) -> DataFrame:
-    """FEATURES of (rec, id, text) rows that have a run."""
-    keyed = texts.select("rec", "id", canonical_key(F.col("text")).alias("canon"), "text").where("canon IS NOT NULL")
+    """FEATURES of (key, text) rows that have a run."""
+    keyed = texts.select("key", canonical_key(F.col("text")).alias("canon"), "text").where("canon IS NOT NULL")
     return keyed.select(
-        "rec", "id", F.xxhash64("canon").alias("c1"), F.xxhash64(F.lit("second"), "canon").alias("c2"), "text"
+        "key", F.xxhash64("canon").alias("c1"), F.xxhash64(F.lit("second"), "canon").alias("c2"), "text"
     ).mapInArrow(_features, FEATURES)
 
 
-def _similar(shared: Column, a: Column, b: Column) -> Column:
-    return OF * shared >= SHARE * (a + b - shared)
+NODES = "node long, salt int, key long, at int, n int, sketch long"
 
 
-def _size_fits(a: Column, b: Column) -> Column:
-    return OF * F.least(a, b) >= SHARE * F.greatest(a, b)
+def _salted(nodes: np.ndarray, keys: np.ndarray, at: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    """NODES rows of one batch; hot nodes get salts and one row with key -1 and salt 0."""
+    values, which, counts = np.unique(nodes, return_inverse=True, return_counts=True)
+    hot = counts > BRUTE_FORCE
+    salt = np.where(hot[which], 1 + (mix(keys.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0)
+    extra = int(hot.sum())
+    pad = np.zeros(extra, np.int64)
+    columns = (
+        np.concatenate([nodes, values[hot]]),
+        np.concatenate([salt, pad]).astype(np.int32),
+        np.concatenate([keys, pad - 1]),
+        np.concatenate([at, pad]).astype(np.int32),
+        np.concatenate([n, pad]).astype(np.int32),
+        np.concatenate([sketch, pad]),
+    )
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["node", "salt", "key", "at", "n", "sketch"])
 
 
-def _members(nodes: DataFrame, name: str) -> DataFrame:
-    """The rows of nodes with at least two members, with the member count in ``size``.
+def _mins(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy().reshape(-1, POSITIONS).astype(np.int64)
 
-    Counting first lets the join drop lone rows, and lets a hot node be split by AQE; its
-    rows are never gathered in one task.
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, sketch, mins) to the nodes of every run; the table takes part in the node."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        mins = _mins(batch.column(3))[:, :ROOT_RUNS]
+        key = np.repeat(batch.column(0).to_numpy(), ROOT_RUNS)
+        at = np.tile(np.arange(ROOT_RUNS), len(mins))
+        node = mix(mix(mins.ravel().view(np.uint64)) + (at + 100 * (key % TABLES)).astype(np.uint64)).view(np.int64)
+        yield _salted(node, key, at, np.repeat(batch.column(1).to_numpy(), ROOT_RUNS), np.repeat(batch.column(2).to_numpy(), ROOT_RUNS))
+
+
+def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, at, key, n, sketch, mins) of large nodes to their splits on the next positions."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node, at, key, n, sketch = (np.repeat(batch.column(i).to_numpy(), CHILD_SPLITS) for i in range(5))
+        after = at + np.tile(np.arange(1, CHILD_SPLITS + 1), batch.num_rows)
+        low = np.repeat(_mins(batch.column(5)), CHILD_SPLITS, axis=0)[np.arange(len(after)), after]
+        child = mix(mix(node.view(np.uint64) + after.astype(np.uint64)) + low.view(np.uint64)).view(np.int64)
+        yield _salted(child, key, after, n, sketch)
+
+
+#: A candidate pair (a < b), or a row of a large node: its node and position in ``b`` and ``at``.
+SCANNED = "a long, b long, at int"
+PAIR = -1
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """NODES sorted by (node, salt): pairs of the small nodes, rows of the large ones.
+
+    At most BRUTE_FORCE rows of a node are held; more make it large and pass on at once.
     """
-    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return persist_table(nodes.join(sizes, "node"), name)
 
+    def finish(columns: list[np.ndarray], again: np.ndarray) -> pa.RecordBatch:
+        node, salt, key, at, n, sketch = columns
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, np.int64)
+        sizes = np.diff(np.concatenate([starts, [len(node)]])).astype(np.int64)
+        run = np.repeat(np.arange(len(starts)), sizes)
+        told = np.zeros(len(starts), bool)
+        np.logical_or.at(told, run, (key < 0) | (salt > 0) | again)
+        large = (told | (sizes > BRUTE_FORCE))[run]
+        a, b = [], []
+        small = np.flatnonzero(~large)
+        step, left = 1, small[sizes[run[small]] > 1]
+        while len(left):
+            left = left[left + step < len(node)]
+            left = left[run[left + step] == run[left]]
+            if not len(left):
+                break
+            x, y = left, left + step
+            least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            equal = SKETCH_BITS - np.bitwise_count((sketch[x] ^ sketch[y]).view(np.uint64)).astype(np.int64)
+            fits = (OF * least >= SHARE * most) & (equal >= SKETCH_AGREE) & (key[x] != key[y])
+            a.append(np.minimum(key[x], key[y])[fits])
+            b.append(np.maximum(key[x], key[y])[fits])
+            step += 1
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.empty((2, 0), np.int64)
+        out = np.flatnonzero(large & (key >= 0))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([pairs[0], key[out]])),
+                pa.array(np.concatenate([pairs[1], node[out]])),
+                pa.array(np.concatenate([np.full(pairs.shape[1], PAIR), at[out]]).astype(np.int32)),
+            ],
+            names=["a", "b", "at"],
+        )
 
-def _brute_force(members: DataFrame) -> DataFrame:
-    """Pairs within the small nodes, each of at most BRUTE_FORCE members."""
-    small = members.where(F.col("size") <= BRUTE_FORCE).select("node", "rec", "cid", "n")
-    a, b = small.alias("a"), small.alias("b")
-    pairs = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.cid") < F.col("b.cid")))
-    return pairs.where(_size_fits(F.col("a.n"), F.col("b.n"))).select(
-        F.col("a.rec").alias("rec"), F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b")
+    held: list[np.ndarray] | None = None
+    passed: int | None = None  # a node whose first rows went on as large ones
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(i).to_numpy() for i in range(6)]
+        if held is not None:
+            rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
+        node = rows[0]
+        last = int(np.searchsorted(node, node[-1]))
+        goes_on = len(node) - last > BRUTE_FORCE
+        cut = len(node) if goes_on else last
+        again = node[:cut] == passed if passed is not None else np.zeros(cut, bool)
+        yield finish([r[:cut] for r in rows], again)
+        if goes_on:
+            passed, held = int(node[-1]), None
+        else:
+            held = [r[last:] for r in rows]
+    if held is not None:
+        again = held[0] == passed if passed is not None else np.zeros(len(held[0]), bool)
+        yield finish(held, again)
+
+
+def _split(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, large rows) of NODES rows, by one shuffle."""
+    found = persist_table(
+        nodes.repartition("node", "salt").sortWithinPartitions("node", "salt").mapInArrow(_scan, SCANNED), "nodes"
     )
+    pairs = found.where(F.col("at") == PAIR).select("a", "b")
+    return pairs, found.where(F.col("at") != PAIR).select(F.col("a").alias("key"), F.col("b").alias("node"), "at")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole):
+            runs, counts = run_sets(batch.column(1), WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(runs.view(np.int64), counts)], names=["key", "runs"])
+
+
+def _size_fits(a: Column, b: Column) -> Column:
+    return OF * F.least(a, b) >= SHARE * F.greatest(a, b)
 
 
 def prefix_candidates(sets: DataFrame) -> DataFrame:
-    """Exact candidates among (rec, cid, runs): pairs that share one of their rarest runs.
+    """Exact candidates (a, b) among (key, runs): pairs that share one of their rarest runs.
 
     Two sets that are similar enough share at least one of the n - ceil(0.7 n) + 1 rarest
     runs of either, in any order common to both.
     """
-    each = sets.select("rec", "cid", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    rec = F.pmod("key", F.lit(TABLES)).alias("rec")
+    each = sets.select(rec, "key", F.size("runs").alias("n"), F.explode("runs").alias("run"))
     counts = each.groupBy("rec", "run").agg(F.count(F.lit(1)).alias("df"))
     ranked = (
         each.join(counts, ["rec", "run"])
-        .groupBy("rec", "cid", "n")
+        .groupBy("rec", "key", "n")
         .agg(F.array_sort(F.collect_list(F.struct("df", "run"))).alias("order"))
     )
     kept = F.col("n") - F.ceil(F.col("n") * SHARE / OF) + 1
-    heads = ranked.select("rec", "cid", "n", F.explode(F.slice("order", F.lit(1), kept.cast("int"))).alias("e")).select(
-        "rec", "cid", "n", F.col("e.run").alias("run")
+    heads = ranked.select("rec", "key", "n", F.explode(F.slice("order", F.lit(1), kept.cast("int"))).alias("e")).select(
+        "rec", "key", "n", F.col("e.run").alias("run")
     )
     a, b = heads.alias("a"), heads.alias("b")
-    on = (F.col("a.rec") == F.col("b.rec")) & (F.col("a.run") == F.col("b.run")) & (F.col("a.cid") < F.col("b.cid"))
-    return (
-        a.join(b, on)
-        .where(_size_fits(F.col("a.n"), F.col("b.n")))
-        .select(F.col("a.rec").alias("rec"), F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
+    on = (F.col("a.rec") == F.col("b.rec")) & (F.col("a.run") == F.col("b.run")) & (F.col("a.key") < F.col("b.key"))
+    return a.join(b, on).where(_size_fits(F.col("a.n"), F.col("b.n"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+
+
+def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """At least the (key, text) rows of the wanted keys, without moving the others.
+
+    The filter has 2 ** FILTER_BITS bits at any size, folded in Spark; where it fills up, more
+    texts pass and the joins that follow drop them.
+    """
+    spot = F.shiftrightunsigned(F.xxhash64("key"), 64 - FILTER_BITS)
+    bits = (
+        wanted.select(spot.alias("spot"))
+        .groupBy(F.shiftright("spot", 5).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(spot & 31 AS int)))").alias("bits"))
+        .toArrow()
     )
+    words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    words[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().astype(np.uint32)
+    shared = texts.sparkSession.sparkContext.broadcast(words)
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            hit = (known[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)
+            yield batch.filter(pa.array(hit.astype(bool))).select([0, 1])
 
-def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rec, cid, runs) of the wanted (rec, cid), computed from their texts."""
-    picked = texts.join(wanted.select("rec", F.col("cid").alias("id")), ["rec", "id"])
-    return picked.select("rec", "id", "text").mapInArrow(_sets, "rec int, cid long, runs array<long>")
+    return texts.select("key", "text", spot.alias("spot")).mapInArrow(pick, "key long, text string")
 
 
-def class_pairs(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rec, cid_a, cid_b) of similar classes, cid_a < cid_b, by the chosen-path join."""
-    roots = classes.select(
-        "rec", "cid", "n", F.posexplode(F.slice("mins", 1, ROOT_RUNS)).alias("at", "low")
-    ).select(F.xxhash64("rec", "at", "low").alias("node"), "at", "rec", "cid", "n")
-    members = _members(roots, "nodes")
-    found = [_brute_force(members)]
-    large = members.where(F.col("size") > BRUTE_FORCE)
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, text_a, text_b) to the pairs that are similar and no copies of each other."""
+    for whole in batches:
+        for batch in slices(whole):
+            left, n_left = run_sets(batch.column(2), WORDS)
+            right, n_right = run_sets(batch.column(3), WORDS)
+            shift = np.uint64(52)
+            tag = lambda runs, n: (np.repeat(np.arange(len(n)), n).astype(np.uint64) << shift) | runs
+            both = np.intersect1d(tag(left, n_left), tag(right, n_right), assume_unique=True)
+            shared = np.bincount((both >> shift).astype(np.int64), minlength=batch.num_rows)
+            good = OF * shared >= SHARE * (n_left + n_right - shared)
+            texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for i in np.flatnonzero(good):
+                x, y = texts[0][i], texts[1][i]
+                good[i] = (canonical_json(x) or canonical_text(x)) != (canonical_json(y) or canonical_text(y))
+            yield batch.filter(pa.array(good)).select([0, 1])
+
+
+def similar_classes(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b), a < b, of similar classes by the chosen-path join."""
+    pairs, large = _split(classes.select("key", "n", "sketch", "mins").mapInArrow(_roots, NODES))
+    found = [pairs]
     for _ in range(DEPTH):
         if large.isEmpty():
             break
-        steps = F.explode(F.array(*[F.lit(s) for s in range(1, CHILD_SPLITS + 1)])).alias("step")
-        children = (
-            large.join(classes.select("rec", "cid", "mins"), ["rec", "cid"])
-            .select("node", "at", "rec", "cid", "n", "mins", steps)
-            .withColumn("next", F.col("at") + F.col("step"))
-            .select(
-                F.xxhash64("node", "next", F.get("mins", F.col("next"))).alias("node"),
-                F.col("next").alias("at"),
-                "rec",
-                "cid",
-                "n",
-            )
-        )
-        members = _members(children, "nodes")
-        found.append(_brute_force(members))
-        large = members.where(F.col("size") > BRUTE_FORCE)
+        rows = large.join(classes.select("key", "n", "sketch", "mins"), "key")
+        pairs, large = _split(rows.select("node", "at", "key", "n", "sketch", "mins").mapInArrow(_children, NODES))
+        found.append(pairs)
     if not large.isEmpty():
-        found.append(prefix_candidates(persist_table(sets_of(texts, large.select("rec", "cid").distinct()), "rest")))
+        rest = large.select("key").distinct()
+        picked = texts_of(texts, rest).join(rest, "key").mapInArrow(_sets, "key long, runs array<long>")
+        found.append(prefix_candidates(persist_table(picked, "rest")))
     candidates = persist_table(reduce(DataFrame.unionByName, found).distinct(), "candidates")
-    wanted = candidates.select("rec", F.col("cid_a").alias("cid")).union(candidates.select("rec", "cid_b")).distinct()
-    sets = persist_table(sets_of(texts, wanted), "sets")
-    a = sets.select("rec", F.col("cid").alias("cid_a"), F.col("runs").alias("runs_a"))
-    b = sets.select("rec", F.col("cid").alias("cid_b"), F.col("runs").alias("runs_b"))
-    shared = F.size(F.array_intersect("runs_a", "runs_b"))
-    return (
-        candidates.join(a, ["rec", "cid_a"])
-        .join(b, ["rec", "cid_b"])
-        .where(_similar(shared, F.size("runs_a"), F.size("runs_b")))
-        .select("rec", "cid_a", "cid_b")
-    )
+    wanted = candidates.select(F.col("a").alias("key")).unionAll(candidates.select("b"))
+    picked = persist_table(texts_of(texts, wanted), "texts")
+    a = picked.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
+    b = picked.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+    joined = candidates.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+    return persist_table(joined.mapInArrow(_verify, "a long, b long"), "pairs")
 
 
-def classes_of(found: DataFrame) -> DataFrame:
-    """One row per class of FEATURES rows; its smallest id stands for it."""
-    return found.groupBy("rec", "c1", "c2", "sid", "n").agg(
-        F.min("id").alias("cid"), F.min_by("mins", "id").alias("mins")
-    )
+CLASS = ("c1", "c2", "sid", "n", "rec")
 
 
 def near_duplicates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, membership) of (rec, id, text) rows.
+    """(pairs, copies) of (key, text) rows.
 
-    pairs: (rec, cid_a, cid_b) between representatives of different texts. membership: (rec,
-    id, cid), one row for each row with a run.
+    pairs: (a, b) between the classes of different texts; a class has the key of its row with
+    the smallest id. copies: (key, cls) of every other row of a class.
     """
-    found = persist_table(features(texts), "features")
-    classes = persist_table(classes_of(found).select("rec", "cid", "n", "mins", "c1", "c2", "sid"), "classes")
-    pairs = class_pairs(texts, classes)
-    key = classes.select("rec", F.col("cid"), "c1", "c2")
-    a = key.select("rec", F.col("cid").alias("cid_a"), F.col("c1").alias("a1"), F.col("c2").alias("a2"))
-    b = key.select("rec", F.col("cid").alias("cid_b"), F.col("c1").alias("b1"), F.col("c2").alias("b2"))
-    different = ~((F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2")))
-    pairs = pairs.join(a, ["rec", "cid_a"]).join(b, ["rec", "cid_b"]).where(different).select("rec", "cid_a", "cid_b")
-    pairs = persist_table(pairs, "pairs")
-    membership = found.select("rec", "id", "c1", "c2", "sid", "n").join(
-        classes.select("rec", "c1", "c2", "sid", "n", "cid"), ["rec", "c1", "c2", "sid", "n"]
+    found = persist_table(features(texts).withColumn("rec", F.pmod("key", F.lit(TABLES))), "features")
+    classes = persist_table(
+        found.groupBy(*CLASS).agg(
+            F.min("key").alias("key"),
+            F.first("sketch").alias("sketch"),
+            F.first("mins").alias("mins"),
+            F.count(F.lit(1)).alias("size"),
+        ),
+        "classes",
     )
-    return pairs, membership.select("rec", "id", "cid")
+    several = classes.where("size > 1").select(*CLASS, F.col("key").alias("cls"))
+    copies = found.select(*CLASS, "key").join(several, list(CLASS)).where("key <> cls").select("key", "cls")
+    return similar_classes(texts, classes), copies
 
 
 #: The tables of the problem: number in ``rec``, name, key column, text column.
@@ -227,36 +361,48 @@ SNIPPETS = ((0, "feedback", "id", "original_code"), (1, "optimization_candidate"
 
 
 def snippets(spark: SparkSession, directory: str) -> DataFrame:
-    """(rec, id, text) of both tables."""
+    """(key, text) of both tables."""
     parts = [
-        table(spark, directory, name).select(F.lit(rec).alias("rec"), F.col(key).alias("id"), F.col(text).alias("text"))
+        table(spark, directory, name).select((F.col(key) * TABLES + rec).alias("key"), F.col(text).alias("text"))
         for rec, name, key, text in SNIPPETS
     ]
     return parts[0].unionByName(parts[1])
 
 
-def _rec_table() -> Column:
-    return F.when(F.col("rec") == 0, SNIPPETS[0][1]).otherwise(SNIPPETS[1][1]).alias("rec_table")
+def _rec_table(key: str) -> Column:
+    return F.when(F.pmod(key, F.lit(TABLES)) == 0, SNIPPETS[0][1]).otherwise(SNIPPETS[1][1]).alias("rec_table")
+
+
+def _id(key: str) -> Column:
+    return F.shiftright(key, TABLES.bit_length() - 1)
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     """Row pairs: the class pairs with every member of either class, as the problem asks."""
-    pairs, members = near_duplicates(snippets(spark, directory))
-    paired = pairs.select("rec", F.col("cid_a").alias("cid")).union(pairs.select("rec", "cid_b")).distinct()
-    members = persist_table(members.join(paired, ["rec", "cid"], "left_semi"), "members")
-    a = members.select("rec", F.col("cid").alias("cid_a"), F.col("id").alias("x"))
-    b = members.select("rec", F.col("cid").alias("cid_b"), F.col("id").alias("y"))
-    rows = pairs.join(a, ["rec", "cid_a"]).join(b, ["rec", "cid_b"])
-    return rows.select(_rec_table(), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    pairs, copies = near_duplicates(snippets(spark, directory))
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    members = persist_table(
+        copies.join(ends, "cls").select("cls", "key").unionByName(ends.select("cls", F.col("cls").alias("key"))), "members"
+    )
+    a = members.select(F.col("cls").alias("a"), F.col("key").alias("x"))
+    b = members.select(F.col("cls").alias("b"), F.col("key").alias("y"))
+    rows = pairs.join(a, "a").join(b, "b")
+    return rows.select(_rec_table("x"), _id("x").alias("x"), _id("y").alias("y")).select(
+        "rec_table", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")
+    )
 
 
 def p2_links(spark: SparkSession, directory: str) -> DataFrame:
-    """One row per document with a run: its class and the number of classes linked to it."""
-    pairs, members = near_duplicates(snippets(spark, directory))
-    ends = pairs.select("rec", F.col("cid_a").alias("cid")).unionAll(pairs.select("rec", "cid_b"))
-    links = ends.groupBy("rec", "cid").agg(F.count(F.lit(1)).alias("n_links"))
-    return members.join(links, ["rec", "cid"], "left").select(
-        _rec_table(), "id", F.col("cid").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    """One row per document with a link or a copy: its class and the classes linked to that."""
+    pairs, copies = near_duplicates(snippets(spark, directory))
+    ends = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b"))
+    links = ends.groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    members = copies.select("key", "cls").unionAll(copies.select("cls", "cls")).unionAll(ends.select("cls", "cls")).distinct()
+    return members.join(links, "cls", "left").select(
+        _rec_table("key"),
+        _id("key").alias("id"),
+        _id("cls").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
