@@ -63,12 +63,15 @@ class _Fields(list):
 
 
 def canonical_json(text: str) -> str | None:
-    """Key of a text that is a JSON object as a whole, None for any other."""
+    """Key of a text that is a JSON object as a whole, None for any other.
+
+    An object nested too deeply for the parser (hundreds of levels) counts as plain text.
+    """
     try:
         value = json.loads(text.strip("\ufeff \t\r\n"), object_pairs_hook=_Fields)
+        return JSON_MARK + _canonical_value(value) if isinstance(value, _Fields) else None
     except (ValueError, RecursionError):
         return None
-    return JSON_MARK + _canonical_value(value) if isinstance(value, _Fields) else None
 
 
 @F.pandas_udf(T.StringType())

@@ -317,6 +317,9 @@ _TRIPLE = re.compile(r"\"\"\".*?\"\"\"|'''.*?'''", re.S)
 _STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|#[^\n]*")
 
 
+_LEAVES = re.compile(r"\b(?:return|raise|yield)\b|^\s*print\(")
+
+
 def is_open(code: str) -> bool:
     """A string, a bracket or a block is not closed where the code ends."""
     bare = _STRING.sub("", _TRIPLE.sub("", code)).rstrip()
@@ -342,6 +345,9 @@ def is_truncated(question: str | None, answer: str, explanation: str, likelihood
         before = set(_WORD.findall("\n".join(own[:-1])))
         if last[-1] not in before and last[-1] not in last[:-1] and last[-1] not in ("None", "True", "False"):
             return True
+    # A question that ends in a return asks for an answer that does.
+    if own and asked.strip() and _LEAVES.search(code_lines(asked)[-1]) and not _LEAVES.search(own[-1]):
+        return True
     asked_for = re.findall(r"^def (\w+)", asked, re.M)
     return bool(asked_for) and len(re.findall(r"^def ", code_of(answer), re.M)) < len(asked_for)
 
