@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.syntax import parse
 from codeloom.llm.seeds import CODE, NATURAL
 from codeloom.llm.shingles import mix
 from codeloom.sources.tables import table
@@ -345,8 +346,11 @@ def is_truncated(question: str | None, answer: str, explanation: str, likelihood
         before = set(_WORD.findall("\n".join(own[:-1])))
         if last[-1] not in before and last[-1] not in last[:-1] and last[-1] not in ("None", "True", "False"):
             return True
-    # A question that ends in a return asks for an answer that does.
-    if own and asked.strip() and _LEAVES.search(code_lines(asked)[-1]) and not _LEAVES.search(own[-1]):
+    # A question that ends in a return asks for an answer that does; by any other, it must parse.
+    if own and asked.strip() and _LEAVES.search(code_lines(asked)[-1]):
+        if not _LEAVES.search(own[-1]):
+            return True
+    elif own and parse(code_of(answer)) is None:
         return True
     asked_for = re.findall(r"^def (\w+)", asked, re.M)
     return bool(asked_for) and len(re.findall(r"^def ", code_of(answer), re.M)) < len(asked_for)
