@@ -49,11 +49,12 @@ def pair_exists(df: DataFrame, value: str, target: int) -> DataFrame:
 
 def two_sum_first(df: DataFrame, group: str, position: str, value: str, target: int) -> DataFrame:
     """Per group the pair a single hash pass meets first: least j, then the latest i before it."""
-    a = df.select(group, F.col(position).alias("i"), F.col(value).alias("v"))
-    b = df.select(F.col(group).alias("g"), F.col(position).alias("j"), F.col(value).alias("w"))
-    on = (F.col("g") == F.col(group)) & (F.col("w") == F.lit(target) - F.col("v")) & (F.col("i") < F.col("j"))
-    first = F.min(F.struct(F.col("j"), (-F.col("i")).alias("minus_i")))
-    return a.join(b, on).groupBy(group).agg(first.alias("p")).select(group, (-F.col("p.minus_i")).alias("i"), F.col("p.j").alias("j"))
+    a = df.select(F.col(group).alias("_g"), F.col(position).alias("_i"), F.col(value).alias("_v"))
+    b = df.select(F.col(group).alias("_h"), F.col(position).alias("_j"), F.col(value).alias("_w"))
+    on = (F.col("_h") == F.col("_g")) & (F.col("_w") == F.lit(target) - F.col("_v")) & (F.col("_i") < F.col("_j"))
+    first = F.min(F.struct(F.col("_j"), (-F.col("_i")).alias("_minus")))
+    pairs = a.join(b, on).groupBy("_g").agg(first.alias("_p"))
+    return pairs.select(F.col("_g").alias(group), (-F.col("_p._minus")).alias("i"), F.col("_p._j").alias("j"))
 
 
 def three_sum(df: DataFrame, value: str, target: int) -> DataFrame:
@@ -210,11 +211,12 @@ def sliding_max(df: DataFrame, group: str, position: str, value: str, width: int
 def subarrays_with_sum(df: DataFrame, group: str, position: str, value: str, target: int) -> DataFrame:
     """Per group the runs of rows that add up to ``target``, by counts of prefix sums."""
     upto = _ordered(group, position).rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.select(group, F.col(position).alias("at"), F.sum(value).over(upto).alias("s"))
-    starts = sums.unionByName(df.select(group).distinct().select(group, F.lit(None).cast(df.schema[position].dataType).alias("at"), F.lit(0).cast(sums.schema["s"].dataType).alias("s")))
-    a = starts.select(F.col(group).alias("g"), F.col("at").alias("a_at"), F.col("s").alias("a_s"))
-    on = (F.col("g") == F.col(group)) & (F.col("s") == F.col("a_s") + target) & (F.col("a_at").isNull() | (F.col("a_at") < F.col("at")))
-    return sums.join(a, on, "left").groupBy(group).agg(F.count("g").alias("n_runs"))
+    sums = df.select(F.col(group).alias("_g"), F.col(position).alias("_at"), F.sum(value).over(upto).alias("_s"))
+    kinds = {name: sums.schema[name].dataType for name in ("_at", "_s")}
+    zero = sums.select("_g").distinct().select("_g", F.lit(None).cast(kinds["_at"]).alias("_at"), F.lit(0).cast(kinds["_s"]).alias("_s"))
+    a = sums.unionByName(zero).select(F.col("_g").alias("_h"), F.col("_at").alias("_from"), F.col("_s").alias("_r"))
+    on = (F.col("_h") == F.col("_g")) & (F.col("_s") == F.col("_r") + target) & (F.col("_from").isNull() | (F.col("_from") < F.col("_at")))
+    return sums.join(a, on, "left").groupBy("_g").agg(F.count("_h").alias("n_runs")).select(F.col("_g").alias(group), "n_runs")
 
 
 def difference_array(updates: DataFrame, first: str, last: str, amount: str) -> DataFrame:
