@@ -244,4 +244,23 @@ def p5_report(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report}
-ORACLES: dict[str, str] = {}
+
+_PAIRS = r"""
+    WITH w AS (SELECT example_id AS id, lower(trim(split_name)) = 'train' AS train, f,
+                      regexp_extract_all(lower(CASE f WHEN 0 THEN original ELSE optimized END), '[\p{L}\p{N}_]+') AS ws
+               FROM simple_dataset_generator, (SELECT unnest([0, 1]) AS f) WHERE split_name IS NOT NULL),
+         r AS (SELECT DISTINCT id, train, f, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS run
+               FROM (SELECT *, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+         n AS (SELECT id, f, count(*) AS n FROM r GROUP BY 1, 2),
+         s AS (SELECT a.id AS x, b.id AS y, a.f, count(*) AS k FROM r a JOIN r b ON a.f = b.f AND a.run = b.run AND a.train AND NOT b.train GROUP BY 1, 2, 3),
+         p AS (SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM s JOIN n a ON a.id = x AND a.f = s.f JOIN n b ON b.id = y AND b.f = s.f
+               WHERE 10 * k >= 7 * (a.n + b.n - k))"""
+
+ORACLES = {
+    "p5_found": _PAIRS + " SELECT id_a, id_b FROM p",
+    "p5_report": _PAIRS
+    + """
+    , h AS (SELECT id_a AS id FROM p UNION SELECT id_b FROM p)
+    SELECT lower(trim(split_name)) AS split_name, source, count(*) AS n_rows, count(h.id) AS n_leaked
+    FROM simple_dataset_generator LEFT JOIN h ON h.id = example_id WHERE lower(trim(split_name)) <> 'train' GROUP BY 1, 2""",
+}

@@ -483,4 +483,24 @@ def p4_shares(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_shares": p4_shares}
-ORACLES: dict[str, str] = {}
+
+_RUNS = f"""
+    WITH t AS (SELECT 'dataset_scraper' AS rec_table, problem_id AS rec_id, '{NAMES[0]}' AS code_field, naive_solution.code AS x FROM dataset_scraper
+               UNION ALL SELECT 'dataset_scraper', problem_id, '{NAMES[1]}', optimized_solution.code FROM dataset_scraper
+               UNION ALL SELECT 'optimization_candidate', candidate_id::VARCHAR, '{NAMES[2]}', optimized_code FROM optimization_candidate),
+         g AS (SELECT rec_table, rec_id, code_field, s, md5(substr(x, s, {LENGTH})) AS piece
+               FROM (SELECT *, unnest(range(1, length(x) - {LENGTH} + 2)) AS s FROM t WHERE length(x) >= {LENGTH})),
+         c AS (SELECT piece FROM g GROUP BY 1 HAVING count(DISTINCT (rec_table, rec_id)) > 1),
+         m AS (SELECT g.*, CASE WHEN s <= lag(s) OVER w + {LENGTH} THEN 0 ELSE 1 END AS fresh FROM g JOIN c USING (piece)
+               WINDOW w AS (PARTITION BY rec_table, rec_id, code_field ORDER BY s)),
+         i AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_table, rec_id, code_field ORDER BY s) AS k FROM m),
+         r AS (SELECT rec_table, rec_id, code_field, min(s) AS start_pos, max(s) + {LENGTH - 1} AS end_pos FROM i
+               GROUP BY rec_table, rec_id, code_field, k)"""
+
+ORACLES = {
+    "p4_found": _RUNS + " SELECT * FROM r",
+    "p4_shares": _RUNS
+    + f"""
+    , n AS (SELECT rec_table, rec_id, sum(length(x))::BIGINT AS n_chars FROM t WHERE length(x) >= {LENGTH} GROUP BY 1, 2)
+    SELECT rec_table, rec_id, n_chars, sum(end_pos - start_pos + 1)::BIGINT AS n_shared FROM r JOIN n USING (rec_table, rec_id) GROUP BY 1, 2, 3""",
+}
