@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import dims, text
+from codeloom.operators import explain
 from codeloom.sources.tables import table
 
 CODE = F.col
@@ -136,10 +137,36 @@ def size_reduction(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Text features that take part in an explanation, by the names of the weights.
+EXPLAINED = ("for_loops", "lines_of_code", "sum_pattern", "comparison_pattern", "pair_pattern", "duplicate_pattern", "max_pattern", "sorting_usage", "membership_testing", "conditional_complexity", "nested_loops")
+
+
+def feature_contributions(spark: SparkSession, d: str) -> DataFrame:
+    """Places that each feature takes among the top contributions, per technique and impact."""
+    code = F.col("original_code")
+    flags, ten = text.usage_flags(code), text.features10(code)
+    values = {
+        "for_loops": ten["n_for"], "lines_of_code": ten["n_lines"], "sum_pattern": flags["sum_pattern"],
+        "comparison_pattern": flags["comparison_pattern"], "pair_pattern": flags["says_pair"], "duplicate_pattern": flags["says_duplicate"],
+        "max_pattern": flags["says_extreme"], "sorting_usage": flags["uses_sorting"], "membership_testing": flags["membership"],
+        "conditional_complexity": ten["n_if"], "nested_loops": text.loop_depth_by_indent(code),
+    }
+    rows = _feedback(spark, d).select("id", "predicted_technique", *[values[n].alias(n) for n in EXPLAINED])
+    shown = explain.contributions(rows, "id", "predicted_technique", list(EXPLAINED)).join(rows.select("id", "predicted_technique"), "id")
+    return shown.groupBy("predicted_technique", "feature", "place", "impact").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rationales(spark: SparkSession, d: str) -> DataFrame:
+    before, after = dims.canonical_class(F.col("complexity_before")), dims.canonical_class(F.col("complexity_after"))
+    technique = F.element_at("applied_techniques", 1)
+    rows = _results(spark, d).where(F.size("applied_techniques") > 0)
+    return rows.select("result_id", explain.rationale(technique, before, after, F.col("confidence_score")).alias("rationale"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        text_features10, usage_flags, line_stats, keyword_counts, algorithm_types, data_structures, brute_force_patterns,
+        feature_contributions, rationales, text_features10, usage_flags, line_stats, keyword_counts, algorithm_types, data_structures, brute_force_patterns,
         function_headers, cache_key_dedup, fences_stripped, blank_lines_squeezed, text_complexities, complexity_scores,
         technique_dims, size_reduction,
     )
@@ -212,7 +239,27 @@ _FLAGS = {
 _STRIPPED = r"trim({0}, ' ' || chr(9) || chr(13) || chr(10))"
 _UNFENCED = _STRIPPED.format("replace(replace(optimized_code, '```python', ''), '```', '')")
 
+_EXPLAINED = {
+    "for_loops": _FEATURES["n_for"], "lines_of_code": _FEATURES["n_lines"], "sum_pattern": _FLAGS["sum_pattern"],
+    "comparison_pattern": _FLAGS["comparison_pattern"], "pair_pattern": _FLAGS["says_pair"], "duplicate_pattern": _FLAGS["says_duplicate"],
+    "max_pattern": _FLAGS["says_extreme"], "sorting_usage": _FLAGS["uses_sorting"], "membership_testing": _FLAGS["membership"],
+    "conditional_complexity": _FEATURES["n_if"], "nested_loops": _depth(_C),
+}
+_WEIGHT = "CASE t || '|' || f " + " ".join(f"WHEN '{t}|{f}' THEN {w}" for t, own in explain.WEIGHTS.items() for f, w in own.items()) + " ELSE 0.01 END"
+
 ORACLES = {
+    "feature_contributions": "WITH r AS (" + " UNION ALL ".join(
+        f"SELECT id, predicted_technique AS t, '{n}' AS f, ({e})::DOUBLE AS v FROM feedback WHERE original_code IS NOT NULL" for n, e in _EXPLAINED.items()
+    ) + f"""), c AS (SELECT id, t, f, round(v * ({_WEIGHT})::DOUBLE, 6) AS c FROM r),
+        k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, f) AS place FROM c WHERE c > 0.01)
+        SELECT t AS predicted_technique, f AS feature, place,
+               CASE WHEN c > 0.15 THEN 'High' WHEN c > 0.05 THEN 'Medium' ELSE 'Low' END AS impact, count(*) AS n
+        FROM k WHERE place <= 5 GROUP BY 1, 2, 3, 4""",
+    "rationales": f"""
+        SELECT result_id, concat_ws('; ', array_to_string(list_transform(string_split(applied_techniques[1], '_'), lambda w: upper(w[1]) || w[2:]), ' ') || ' was chosen',
+               {_class('complexity_before')} || ' becomes ' || {_class('complexity_after')},
+               CASE WHEN confidence_score > 0.7 THEN 'High' WHEN confidence_score > 0.4 THEN 'Medium' ELSE 'Low' END || ' confidence') AS rationale
+        FROM optimization_result WHERE len(applied_techniques) > 0""",
     "text_features10": "SELECT predicted_technique, count(*) AS n, "
     + ", ".join(f"sum({e})::BIGINT AS {k}" for k, e in _FEATURES.items())
     + " FROM feedback WHERE original_code IS NOT NULL GROUP BY 1",
