@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.plans.workers import spread
+
 LOOPS = (ast.For, ast.AsyncFor, ast.While)
 COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 # Names whose use the security check reports.
@@ -158,7 +160,7 @@ def per_snippet(df: DataFrame, key: str, code: str, schema: str, judge: Callable
                 rows += [{key: k, **{n: row[n] for n in names}} for row in cache[text]]
             yield from pa.Table.from_pylist(rows, shape).to_batches()
 
-    return df.select(key, code).mapInArrow(run, target)
+    return spread(df.select(key, code)).mapInArrow(run, target)
 
 
 def _features_row(code: str | None) -> list[dict]:

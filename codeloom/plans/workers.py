@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -25,3 +25,12 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root.parent))
     context.addPyFile(name)
     _SHIPPED.add(context.applicationId)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before work in Python, where its files give fewer splits than that.
+
+    Large inputs have more splits than cores and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
