@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.plans.durable import persist_table
+from codeloom.plans.workers import spread
 from codeloom.sources.tables import table
 
 # Fixed value: the operator signs that count in a comparison, beside letters and digits.
@@ -92,7 +93,8 @@ def canonical_key(text: F.Column) -> F.Column:
 
 def keyed_records(records: DataFrame, key: str, text: str) -> DataFrame:
     """(id, canon) of the rows that have something to compare."""
-    return records.select(F.col(key).alias("id"), canonical_key(F.col(text)).alias("canon")).where("canon IS NOT NULL")
+    records = spread(records.select(F.col(key).alias("id"), F.col(text).alias("text")))
+    return records.select("id", canonical_key(F.col("text")).alias("canon")).where("canon IS NOT NULL")
 
 
 SCAN_SCHEMA = "rec int, id long, head long, part int, kind int, canon string"

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.mime import readable, text_parts
 from codeloom.llm.shingles import hash_words, mix, split_words
+from codeloom.plans.workers import spread
 from codeloom.sources.tables import table
 
 MIN_WORDS = 12
@@ -163,6 +164,7 @@ def tile_corpus(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -
     n_words = items.select(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first().n or 0
     n_blocks = max(1, -(-n_words // BLOCK_WORDS))
     passes = []
+    docs = spread(docs.select("doc_id", "text"))
     for number in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == number).collect()
         shared = docs.sparkSession.sparkContext.broadcast(_block(rows, min_words))

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.canon import canonical_json, canonical_key, canonical_text
 from codeloom.llm.shingles import list_array, mix, run_sets, slices
 from codeloom.plans.durable import persist_table
+from codeloom.plans.workers import spread
 from codeloom.sources.tables import table
 
 WORDS = 3
@@ -98,7 +99,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(texts: DataFrame) -> DataFrame:
     """FEATURES of (key, text) rows that have a run."""
-    keyed = texts.select("key", canonical_key(F.col("text")).alias("canon"), "text").where("canon IS NOT NULL")
+    keyed = spread(texts.select("key", "text")).select("key", canonical_key(F.col("text")).alias("canon"), "text").where("canon IS NOT NULL")
     return keyed.select(
         "key", F.xxhash64("canon").alias("c1"), F.xxhash64(F.lit("second"), "canon").alias("c2"), "text"
     ).mapInArrow(_features, FEATURES)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.syntax import parse
 from codeloom.llm.seeds import CODE, NATURAL
 from codeloom.llm.shingles import mix
+from codeloom.plans.workers import spread
 from codeloom.sources.tables import table
 
 TYPES = ("refusal", "empty", "copied", "other_language", "truncated")
@@ -400,13 +401,14 @@ def defective_pairs(pairs: DataFrame) -> DataFrame:
 
     ``pairs`` has (result_id, original_code, optimized_code, explanation).
     """
+    columns = ("result_id", "original_code", "optimized_code", "explanation")
+    pairs = spread(pairs.select(*columns))
     shared = pairs.sparkSession.sparkContext.broadcast(end_likelihoods(pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _judge(shared.value, batches)
 
-    columns = ("result_id", "original_code", "optimized_code", "explanation")
-    return pairs.select(*columns).mapInArrow(run, "result_id long, defect_type string")
+    return pairs.mapInArrow(run, "result_id long, defect_type string")
 
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.mime import _HIDDEN, _TAG, text_parts
 from codeloom.llm.shingles import hash_words, mix, split_words
+from codeloom.plans.workers import spread
 from codeloom.sources.tables import table
 
 #: Bound of the training sample, in messages.
@@ -310,7 +311,7 @@ def residue(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _judge(shared.value.astype(np.float64), batches)
 
-    return docs.select("doc_id", "text", "subject").mapInArrow(run, "doc_id long, score double")
+    return spread(docs.select("doc_id", "text", "subject")).mapInArrow(run, "doc_id long, score double")
 
 
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
