@@ -1,8 +1,9 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer (problem 6).
 
-Method: distinct-word table. Spark splits every text into the tokenizer's words; the words
-that recur are gathered into one table, each is encoded once, and the ids are joined back by
-position. A word that does not recur within a batch has too few positions to gain from the
+Method: distinct-word table. Spark splits every text into the tokenizer's words; the
+vocabulary holds every distinct word with its exact count, encoded once. To encode texts, the
+words that recur are gathered into one table, each is encoded once, and the ids are joined back
+by position. A word that does not recur within a batch has too few positions to gain from that
 table and is encoded where it stands, once per batch. Decoding is a join of ids to pieces.
 
 Defined cases: null and empty texts give an empty id list; ids keep the row multiplicity of
@@ -80,26 +81,40 @@ def split_words(text: str = "text") -> F.Column:
     return F.coalesce(F.regexp_extract_all(F.col(text), F.lit(WORD_PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def recurring_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): words that recur within a batch of rows, with the count of those positions.
+def _batch_counts(docs: DataFrame, text: str, least: int, longest: int | None) -> DataFrame:
+    """(word, n), a row per batch: words at ``least`` positions of the batch and at most ``longest`` bytes long.
 
-    Batches count in Arrow and send on only what recurs, so the shuffle carries vocabulary
-    and never positions; a hot word arrives as one row per batch.
+    Batches count in Arrow, so the shuffle carries vocabulary and never positions; a hot word
+    arrives as one row per batch.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = pc.value_counts(batch.column(0).flatten())
             words, n = seen.field("values"), seen.field("counts")
-            keep = pc.and_(pc.greater(n, 1), pc.less_equal(pc.binary_length(words), TABLE_WORD_BYTES))
+            keep = pc.greater_equal(n, least)
+            if longest is not None:
+                keep = pc.and_(keep, pc.less_equal(pc.binary_length(words), longest))
             yield pa.RecordBatch.from_arrays([words.filter(keep), n.filter(keep)], names=["word", "n"])
 
-    found = docs.select(split_words(text).alias("words")).mapInArrow(count, "word string, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(split_words(text).alias("words")).mapInArrow(count, "word string, n long")
 
 
-def word_table(docs: DataFrame, text: str = "text", directory: str = TOKENIZER_DIR) -> DataFrame:
-    """(word, n, ids): the distinct-word table, every word encoded once."""
+def recurring_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): short words that recur within a batch of rows, with the count of those positions.
+
+    These only pick what encode_corpus sends to every task; the choice has no effect on the ids.
+    """
+    return _batch_counts(docs, text, 2, TABLE_WORD_BYTES).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): every word of the corpus, however rare or long, with the count of all its positions."""
+    return _batch_counts(docs, text, 1, None).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _with_ids(words: DataFrame, directory: str) -> DataFrame:
+    """(word, n, ids) of (word, n) rows."""
     path = os.path.join(directory, RANKS_FILE)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +126,17 @@ def word_table(docs: DataFrame, text: str = "text", directory: str = TOKENIZER_D
                 names=["word", "n", "ids"],
             )
 
-    return recurring_words(docs, text).mapInArrow(encode, "word string, n long, ids array<int>")
+    return words.mapInArrow(encode, "word string, n long, ids array<int>")
+
+
+def word_table(docs: DataFrame, text: str = "text", directory: str = TOKENIZER_DIR) -> DataFrame:
+    """(word, n, ids) of the recurring words, every one encoded once."""
+    return _with_ids(recurring_words(docs, text), directory)
+
+
+def vocabulary(docs: DataFrame, text: str = "text", directory: str = TOKENIZER_DIR) -> DataFrame:
+    """(word, n, ids): the distinct-word table of the whole corpus, every word encoded once."""
+    return _with_ids(distinct_words(docs, text), directory)
 
 
 def encode_corpus(
@@ -195,8 +220,8 @@ def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p6_vocabulary(spark: SparkSession, directory: str) -> DataFrame:
-    """The distinct-word table of the corpus: word, its counted positions and its ids."""
-    return word_table(table(spark, directory, "documents"))
+    """The distinct-word table of the corpus: every word, the number of its positions and its ids."""
+    return vocabulary(table(spark, directory, "documents"))
 
 
 def p6_token_counts(spark: SparkSession, directory: str) -> DataFrame:

@@ -28,3 +28,19 @@ def test_word_table_encodes_each_word_once(spark):
 
 def test_empty(spark):
     assert tokens.encode_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_vocabulary_counts_every_word(spark, tmp_path):
+    import re
+    from collections import Counter
+
+    long = "x" * 60
+    texts = ["red once", f"red {long}", "red red again", None, "", f"{long} red"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = tokens._coder(f"{tokens.TOKENIZER_DIR}/{tokens.RANKS_FILE}")
+    wanted = Counter(word for text in texts if text for word in re.findall(r" ?\w+", text))
+    for parts in (1, 3):  # counts do not depend on how rows lie in batches
+        docs.repartition(parts).write.mode("overwrite").parquet(f"{tmp_path}/{parts}/documents.parquet")
+        rows = tokens.p6_vocabulary(spark, f"{tmp_path}/{parts}").collect()
+        assert len(rows) == len(wanted)
+        assert {r.word: (r.n, list(r.ids)) for r in rows} == {w: (n, own.encode_ordinary(w)) for w, n in wanted.items()}
