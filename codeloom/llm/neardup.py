@@ -3,16 +3,18 @@
 Method: chosen-path join. Texts with the same canonical key and the same set of runs form one
 class; classes are split on sampled shared tokens (min-hash positions of their sets), each of
 the ROOT_RUNS independent runs taking another position. A node with at most BRUTE_FORCE
-members is compared pair by pair; a larger one is split again, on CHILD_SPLITS further
-positions, down to DEPTH splits. What is still large then goes to an exact prefix-filter join
+members is compared pair by pair; a larger one is split again, on CHILD_SPLITS positions that
+are neither a root's nor another split's, down to DEPTH splits. What is still large then goes to an exact prefix-filter join
 (rarest tokens of each set), so no bucket is ever cut short. Pairs of small nodes pass a
 sketch of SKETCH_BITS one-bit min-hashes and are then verified exactly on the texts.
 
 Recall: a pair with similarity s shares a root node with probability 1 - (1 - s) ** ROOT_RUNS,
-that is 0.999994 at the threshold of 0.7, more above it; where every token of a pair is a hot
-one, each further split costs a run 0.09 of that. The sketch turns away a pair at the threshold
-with a probability of 3e-6 (fewer than SKETCH_AGREE of 64 bits equal, each equal with 0.85) and
-lets one in forty unrelated pairs through.
+that is 0.999994 at the threshold of 0.7, more above it. RUNS_PER_GROUP runs share their split
+positions, groups share none, so that a pair whose tokens are all hot is missed with the
+probability of ``miss``: 6.7e-6 after one split and 7.5e-6 after two, at the threshold. The
+sketch turns away a pair at the threshold with a probability of 1.0e-6 (fewer than SKETCH_AGREE
+of SKETCH_BITS bits equal, each equal with 0.85), which keeps all of it at TARGET_RECALL, and
+lets one in 75,000 unrelated pairs through.
 
 Skew: copies are joined as one class first. A node with more than BRUTE_FORCE members in one
 batch is known to be large: its rows are spread over salts and one row per batch tells the
@@ -26,7 +28,7 @@ unique per table and below 2 ** 59, extra columns are ignored; empty tables give
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -45,12 +47,11 @@ WORDS = 3
 SHARE, OF = 7, 10
 TARGET_RECALL = 0.99999
 ROOT_RUNS = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - SHARE / OF))
-CHILD_SPLITS = 2
 DEPTH = 2
-POSITIONS = ROOT_RUNS + CHILD_SPLITS * DEPTH
+RUNS_PER_GROUP = 2
+GROUPS = ROOT_RUNS // RUNS_PER_GROUP
 BRUTE_FORCE = 250
-SKETCH_BITS = 64
-SKETCH_AGREE = 42
+SKETCH_BITS = 128
 #: Parts that the rows of a hot node are spread over.
 SALTS = 1024
 #: Bits of the filter that keeps texts without a candidate from being moved: 4 MB at any size.
@@ -58,12 +59,34 @@ FILTER_BITS = 25
 #: A class or row is named by id * TABLES + rec.
 TABLES = 16
 
+
+def miss(similarity: float, splits: int, child_splits: int) -> float:
+    """Probability that a pair meets in no node after so many splits of every node it shares."""
+    apart = 1 - similarity
+    return (1 - (1 - apart**RUNS_PER_GROUP) * (1 - apart**child_splits) ** splits) ** GROUPS
+
+
+def sketch_miss(similarity: float, agree: int) -> float:
+    """Probability that fewer than ``agree`` bits of a pair's sketches are equal."""
+    equal = (1 + similarity) / 2
+    return sum(math.comb(SKETCH_BITS, k) * equal**k * (1 - equal) ** (SKETCH_BITS - k) for k in range(agree))
+
+
+#: The fewest splits, then the most bits, that keep TARGET_RECALL for a pair at the threshold whose tokens are all hot.
+CHILD_SPLITS = next(k for k in range(1, 64) if miss(SHARE / OF, DEPTH, k) < 1 - TARGET_RECALL)
+SKETCH_AGREE = max(k for k in range(SKETCH_BITS) if miss(SHARE / OF, DEPTH, CHILD_SPLITS) + sketch_miss(SHARE / OF, k) <= 1 - TARGET_RECALL)
+CHILD_POSITIONS = DEPTH * GROUPS * CHILD_SPLITS
+POSITIONS = ROOT_RUNS + CHILD_POSITIONS
+#: Numbers in a row of min-hashes: 32 bits for a root position, 16 for a split position.
+MINS = ROOT_RUNS + -(-CHILD_POSITIONS // 2)
+
 _FACTORS = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _TERMS = mix(np.arange(1001, 1001 + POSITIONS, dtype=np.uint64))
 _SKETCH = (mix(np.arange(2001, 2001 + SKETCH_BITS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _PARITY = np.uint32(0x85EBCA6B)
 
-FEATURES = "key long, c1 long, c2 long, n int, sid long, sketch long, mins array<int>"
+SKETCH = ("sketch_1", "sketch_2")
+FEATURES = "key long, c1 long, c2 long, n int, sid long, mins array<int>, sketch_1 long, sketch_2 long"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,24 +99,28 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             starts = (np.cumsum(counts) - counts)[has]
             identity = np.add.reduceat(mix(runs), starts)
-            mins = np.empty((len(starts), POSITIONS), np.int32)
+            mins = np.zeros((len(starts), MINS), np.int32)
+            split = mins[:, ROOT_RUNS:].view(np.uint16)
             for p in range(POSITIONS):
                 low = np.minimum.reduceat(runs * _FACTORS[p] + _TERMS[p], starts)
-                mins[:, p] = (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            short, sketch = (runs >> np.uint64(16)).astype(np.uint32), np.zeros(len(starts), np.uint64)
+                if p < ROOT_RUNS:
+                    mins[:, p] = (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                else:
+                    split[:, p - ROOT_RUNS] = mix(low) >> np.uint64(48)
+            short, sketch = (runs >> np.uint64(16)).astype(np.uint32), np.zeros((SKETCH_BITS // 64, len(starts)), np.uint64)
             for bit in range(SKETCH_BITS):
                 low = np.minimum.reduceat(short * _SKETCH[bit], starts)
-                sketch |= ((low * _PARITY >> np.uint32(31)).astype(np.uint64)) << np.uint64(bit)
+                sketch[bit // 64] |= ((low * _PARITY >> np.uint32(31)).astype(np.uint64)) << np.uint64(bit % 64)
             keep = pa.array(has)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).filter(keep) for i in range(3)]
                 + [
                     pa.array(counts[has].astype(np.int32)),
                     pa.array(identity.view(np.int64)),
-                    pa.array(sketch.view(np.int64)),
-                    list_array(mins.ravel(), np.full(len(starts), POSITIONS)),
-                ],
-                names=["key", "c1", "c2", "n", "sid", "sketch", "mins"],
+                    list_array(mins.ravel(), np.full(len(starts), MINS)),
+                ]
+                + [pa.array(part.view(np.int64)) for part in sketch],
+                names=["key", "c1", "c2", "n", "sid", "mins", *SKETCH],
             )
 
 
@@ -105,10 +132,10 @@ def features(texts: DataFrame) -> DataFrame:
     ).mapInArrow(_features, FEATURES)
 
 
-NODES = "node long, salt int, key long, at int, n int, sketch long"
+NODES = "node long, salt int, key long, at int, n int, sketch_1 long, sketch_2 long"
 
 
-def _salted(nodes: np.ndarray, keys: np.ndarray, at: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+def _salted(nodes: np.ndarray, keys: np.ndarray, at: np.ndarray, n: np.ndarray, sketch: list[np.ndarray]) -> pa.RecordBatch:
     """NODES rows of one batch; hot nodes get salts and one row with key -1 and salt 0."""
     values, which, counts = np.unique(nodes, return_inverse=True, return_counts=True)
     hot = counts > BRUTE_FORCE
@@ -121,40 +148,53 @@ def _salted(nodes: np.ndarray, keys: np.ndarray, at: np.ndarray, n: np.ndarray,
         np.concatenate([keys, pad - 1]),
         np.concatenate([at, pad]).astype(np.int32),
         np.concatenate([n, pad]).astype(np.int32),
-        np.concatenate([sketch, pad]),
+        *(np.concatenate([part, pad]) for part in sketch),
     )
-    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["node", "salt", "key", "at", "n", "sketch"])
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["node", "salt", "key", "at", "n", *SKETCH])
 
 
 def _mins(lists: pa.ListArray) -> np.ndarray:
-    return lists.flatten().to_numpy().reshape(-1, POSITIONS).astype(np.int64)
+    return lists.flatten().to_numpy().reshape(-1, MINS)
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n, sketch, mins) to the nodes of every run; the table takes part in the node."""
+    """(key, n, mins, sketch) to the nodes of every run; the table takes part in the node."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        mins = _mins(batch.column(3))[:, :ROOT_RUNS]
+        mins = _mins(batch.column(2))[:, :ROOT_RUNS].astype(np.int64)
         key = np.repeat(batch.column(0).to_numpy(), ROOT_RUNS)
         at = np.tile(np.arange(ROOT_RUNS), len(mins))
         node = mix(mix(mins.ravel().view(np.uint64)) + (at + 100 * (key % TABLES)).astype(np.uint64)).view(np.int64)
-        yield _salted(node, key, at, np.repeat(batch.column(1).to_numpy(), ROOT_RUNS), np.repeat(batch.column(2).to_numpy(), ROOT_RUNS))
+        n, *sketch = (np.repeat(batch.column(i).to_numpy(), ROOT_RUNS) for i in (1, 3, 4))
+        yield _salted(node, key, at, n, sketch)
 
 
-def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, at, key, n, sketch, mins) of large nodes to their splits on the next positions."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        node, at, key, n, sketch = (np.repeat(batch.column(i).to_numpy(), CHILD_SPLITS) for i in range(5))
-        after = at + np.tile(np.arange(1, CHILD_SPLITS + 1), batch.num_rows)
-        low = np.repeat(_mins(batch.column(5)), CHILD_SPLITS, axis=0)[np.arange(len(after)), after]
-        child = mix(mix(node.view(np.uint64) + after.astype(np.uint64)) + low.view(np.uint64)).view(np.int64)
-        yield _salted(child, key, after, n, sketch)
+def split_positions(depth: int) -> np.ndarray:
+    """Split positions of each run's nodes that were split ``depth`` times, a row per run."""
+    group = np.arange(ROOT_RUNS) // RUNS_PER_GROUP
+    return ((depth * GROUPS + group) * CHILD_SPLITS)[:, None] + np.arange(CHILD_SPLITS)
+
+
+def _children(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(node, at, key, n, mins, sketch) of large nodes of run ``at`` to their splits."""
+    positions = split_positions(depth)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, at, key, n, *sketch = (np.repeat(batch.column(i).to_numpy(), CHILD_SPLITS) for i in (0, 1, 2, 3, 5, 6))
+            where = positions[batch.column(1).to_numpy()]
+            mins = np.ascontiguousarray(_mins(batch.column(4))[:, ROOT_RUNS:]).view(np.uint16)
+            low = np.take_along_axis(mins, where, axis=1).ravel().astype(np.uint64)
+            child = mix(mix(node.view(np.uint64) + where.ravel().astype(np.uint64)) + low).view(np.int64)
+            yield _salted(child, key, at, n, sketch)
+
+    return split
 
 
-#: A candidate pair (a < b), or a row of a large node: its node and position in ``b`` and ``at``.
+#: A candidate pair (a < b), or a row of a large node: its node and run in ``b`` and ``at``.
 SCANNED = "a long, b long, at int"
 PAIR = -1
 
@@ -166,7 +206,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
 
     def finish(columns: list[np.ndarray], again: np.ndarray) -> pa.RecordBatch:
-        node, salt, key, at, n, sketch = columns
+        node, salt, key, at, n, *sketch = columns
         starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, np.int64)
         sizes = np.diff(np.concatenate([starts, [len(node)]])).astype(np.int64)
         run = np.repeat(np.arange(len(starts)), sizes)
@@ -183,7 +223,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             x, y = left, left + step
             least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            equal = SKETCH_BITS - np.bitwise_count((sketch[x] ^ sketch[y]).view(np.uint64)).astype(np.int64)
+            equal = SKETCH_BITS - sum(np.bitwise_count((part[x] ^ part[y]).view(np.uint64)).astype(np.int64) for part in sketch)
             fits = (OF * least >= SHARE * most) & (equal >= SKETCH_AGREE) & (key[x] != key[y])
             a.append(np.minimum(key[x], key[y])[fits])
             b.append(np.maximum(key[x], key[y])[fits])
@@ -204,7 +244,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(i).to_numpy() for i in range(6)]
+        rows = [column.to_numpy() for column in batch.columns]
         if held is not None:
             rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
         node = rows[0]
@@ -312,13 +352,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar_classes(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b), a < b, of similar classes by the chosen-path join."""
-    pairs, large = _split(classes.select("key", "n", "sketch", "mins").mapInArrow(_roots, NODES))
+    pairs, large = _split(classes.select("key", "n", "mins", *SKETCH).mapInArrow(_roots, NODES))
     found = [pairs]
-    for _ in range(DEPTH):
+    for depth in range(DEPTH):
         if large.isEmpty():
             break
-        rows = large.join(classes.select("key", "n", "sketch", "mins"), "key")
-        pairs, large = _split(rows.select("node", "at", "key", "n", "sketch", "mins").mapInArrow(_children, NODES))
+        rows = large.join(classes.select("key", "n", "mins", *SKETCH), "key")
+        pairs, large = _split(rows.select("node", "at", "key", "n", "mins", *SKETCH).mapInArrow(_children(depth), NODES))
         found.append(pairs)
     if not large.isEmpty():
         rest = large.select("key").distinct()
@@ -346,8 +386,8 @@ def near_duplicates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = persist_table(
         found.groupBy(*CLASS).agg(
             F.min("key").alias("key"),
-            F.first("sketch").alias("sketch"),
             F.first("mins").alias("mins"),
+            *(F.first(part).alias(part) for part in SKETCH),
             F.count(F.lit(1)).alias("size"),
         ),
         "classes",

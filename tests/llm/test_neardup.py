@@ -66,6 +66,50 @@ def test_against_all_pairs(spark, limit, monkeypatch):
     assert len(found) >= 0.999 * len(wanted) > 20
 
 
+def pairs_at_the_threshold(n):
+    """Texts 2i and 2i + 1 share 70 of 100 runs, and none with any other text."""
+    out = []
+    for i in range(n):
+        both = " ".join(f"b{i}x{j}" for j in range(72))
+        out += [both + " " + " ".join(f"{side}{i}x{j}" for j in range(15)) for side in "pq"]
+    return out
+
+
+def test_recall_of_pairs_whose_tokens_are_all_hot():
+    import numpy as np
+    import pyarrow as pa
+
+    n = 4000
+    keys = pa.array(np.arange(2 * n) * neardup.TABLES)
+    texts = pa.RecordBatch.from_arrays([keys, keys, keys, pa.array(pairs_at_the_threshold(n))], names=["key", "c1", "c2", "text"])
+    rows = pa.Table.from_batches(neardup._features([texts])).combine_chunks().to_batches()[0]
+    nodes = next(neardup._roots([rows.select(["key", "n", "mins", *neardup.SKETCH])]))
+
+    def missed():
+        node, key = nodes["node"].to_numpy(), nodes["key"].to_numpy()
+        seen = np.unique(np.stack([node, key // (2 * neardup.TABLES), key]), axis=1)
+        met = (seen[:2, 1:] == seen[:2, :-1]).all(axis=0)
+        return n - len(np.unique(seen[1, 1:][met]))
+
+    assert missed() <= 1
+    for depth in range(neardup.DEPTH):  # every node is large and is split, none reaches the exact remainder
+        own = rows.select(["mins", *neardup.SKETCH]).take(pa.array(nodes["key"].to_numpy() // neardup.TABLES))
+        large = [nodes[c] for c in ("node", "at", "key", "n")] + own.columns
+        nodes = next(neardup._children(depth)([pa.RecordBatch.from_arrays(large, names=["node", "at", "key", "n", *own.schema.names])]))
+        assert missed() <= 1
+
+
+def test_splits_keep_the_target_recall():
+    import numpy as np
+
+    for splits in range(neardup.DEPTH + 1):
+        whole = neardup.miss(0.7, splits, neardup.CHILD_SPLITS) + neardup.sketch_miss(0.7, neardup.SKETCH_AGREE)
+        assert whole <= 1 - neardup.TARGET_RECALL
+    runs = np.arange(neardup.ROOT_RUNS) // neardup.RUNS_PER_GROUP
+    used = [set(neardup.split_positions(d)[runs == g].ravel()) for d in range(neardup.DEPTH) for g in range(neardup.GROUPS)]
+    assert sum(map(len, used)) == len(set().union(*used)) == neardup.CHILD_POSITIONS
+
+
 def test_scan_joins_rows_across_batches():
     import numpy as np
     import pyarrow as pa
