@@ -3,7 +3,14 @@
 Rules: folding of constant arithmetic, comparisons and boolean operators; branches and loops
 with a constant test; statements after return, raise, break or continue; assignments to local
 names that nothing reads and whose value has no effect; append loops as comprehensions;
-``range(len(x))`` loops that only index as direct loops. Snippets are never run.
+``range(len(x))`` loops as direct loops where the index only reads ``x``, over ``enumerate`` where it
+is used otherwise too. Snippets are never run.
+
+A ``range(len(x))`` loop is left alone where the rewrite could change what it does: ``x`` is no plain
+name; the loop assigns or deletes ``x``, an item of it or the index, calls a method of ``x`` or lets
+``x`` out of sight (any use but ``x[...]`` and ``len(x)``); or no ``x[i]`` is read. A direct loop also
+needs that nothing in the scope but other loops over the index names it. ``x`` is taken for a
+sequence that no other name changes during the loop.
 """
 
 from __future__ import annotations
@@ -36,14 +43,105 @@ def _pure(node: ast.AST) -> bool:
     return not any(isinstance(x, (ast.Call, ast.Await, ast.Yield, ast.YieldFrom, ast.NamedExpr, ast.Subscript, ast.Attribute)) for x in ast.walk(node))
 
 
+_SCOPES = (ast.Module, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)
+_PAUSES = (ast.Await, ast.Yield, ast.YieldFrom, ast.AsyncFor, ast.AsyncWith)
+#: A snippet that binds one of these, or looks at its names by them, keeps its loops.
+_LOOP_NAMES = {"range", "len", "enumerate", "*"}
+_BY_NAME = {"locals", "globals", "vars", "dir", "eval", "exec"}
+
+
+def _bound(tree: ast.AST) -> set[str]:
+    """Names that anything in the tree binds, deletes or declares."""
+    out: set[str] = set()
+    for x in ast.walk(tree):
+        if isinstance(x, ast.Name) and not isinstance(x.ctx, ast.Load):
+            out.add(x.id)
+        elif isinstance(x, ast.arg):
+            out.add(x.arg)
+        elif isinstance(x, ast.alias):
+            out.add((x.asname or x.name).split(".")[0])
+        elif isinstance(x, (ast.Global, ast.Nonlocal)):
+            out.update(x.names)
+        elif isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.ExceptHandler, ast.MatchAs, ast.MatchStar)):
+            out.add(x.name or "")
+        elif isinstance(x, ast.MatchMapping):
+            out.add(x.rest or "")
+    return out
+
+
+def _named(tree: ast.AST, name: str) -> list[ast.AST]:
+    return [x for x in ast.walk(tree) if isinstance(x, ast.Name) and x.id == name]
+
+
+def _length_of(node: ast.AST, call: str = "len") -> ast.expr | None:
+    """The only argument of ``call(...)``."""
+    ok = isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == call and len(node.args) == 1 and not node.keywords
+    return node.args[0] if ok else None
+
+
+class _Items(ast.NodeTransformer):
+    """``x[i]`` as another name."""
+
+    def __init__(self, x: str, i: str, item: str) -> None:
+        self.x, self.i, self.item = x, i, item
+
+    def visit_Subscript(self, node: ast.Subscript) -> ast.AST:
+        if isinstance(node.value, ast.Name) and node.value.id == self.x and isinstance(node.slice, ast.Name) and node.slice.id == self.i:
+            return ast.copy_location(ast.Name(self.item, ast.Load()), node)
+        return self.generic_visit(node)
+
+
 class Rewriter(ast.NodeTransformer):
     def __init__(self) -> None:
         self.applied: list[str] = []
+        self._scopes: list[ast.AST] = []
 
     def _put(self, rule: str, node: ast.AST, new: ast.AST) -> ast.AST:
         self.applied.append(rule)
         return ast.copy_location(new, node)
 
+    def visit(self, node: ast.AST) -> ast.AST:
+        if not isinstance(node, _SCOPES):
+            return super().visit(node)
+        self._scopes.append(node)
+        try:
+            return super().visit(node)
+        finally:
+            self._scopes.pop()
+
+    def visit_For(self, node: ast.For) -> ast.AST:
+        self.generic_visit(node)
+        ends = _length_of(node.iter, "range")
+        over = _length_of(ends) if ends is not None else None
+        if not (isinstance(over, ast.Name) and isinstance(node.target, ast.Name)) or isinstance(self._scopes[-1], ast.ClassDef):
+            return node
+        x, i, whole, scope, body = over.id, node.target.id, self._scopes[0], self._scopes[-1], list(ast.walk(ast.Module(node.body, [])))
+        # Reads of x that leave it as it is, cheapest tests first.
+        seen = {id(n.value) for n in body if isinstance(n, ast.Subscript) and isinstance(n.ctx, ast.Load)} | {id(_length_of(n)) for n in body}
+        reads = [n for n in body if isinstance(n, ast.Name) and n.id == x]
+        if x == i or not reads or any(id(n) not in seen for n in reads) or any(isinstance(n, _SCOPES[1:] + _PAUSES) for n in body):
+            return node
+        if not any(isinstance(n, ast.Subscript) and isinstance(n.value, ast.Name) and n.value.id == x and isinstance(n.slice, ast.Name) and n.slice.id == i for n in body):
+            return node
+        everywhere = _bound(whole)
+        names = {n.id for n in ast.walk(whole) if isinstance(n, ast.Name)} | everywhere
+        declared = {n for s in ast.walk(whole) if isinstance(s, (ast.Global, ast.Nonlocal)) for n in s.names}
+        if {x, i} & (_bound(ast.Module(node.body, [])) | declared) or _LOOP_NAMES & everywhere or _BY_NAME & names:
+            return node
+        item = f"value_{i}"
+        while item in names:
+            item += "_"
+        items = _Items(x, i, item)
+        node.body, value = [items.visit(s) for s in node.body], ast.Name(item, ast.Store())
+        others = [n for n in ast.walk(scope) if isinstance(n, ast.For) and isinstance(n.target, ast.Name) and n.target.id == i]
+        inside = {id(m) for f in others if f is node or node not in ast.walk(f) for part in (f.target, *(f.body if f is not node else ())) for m in ast.walk(part)}
+        if any(id(n) not in inside for n in _named(scope, i)):
+            node.target, node.iter = ast.Tuple([node.target, value], ast.Store()), ast.Call(ast.Name("enumerate", ast.Load()), [over], [])
+        else:
+            node.target, node.iter = value, over
+        self.applied.append("direct_loop")
+        return node
+
     def visit_BinOp(self, node: ast.BinOp) -> ast.AST:
         self.generic_visit(node)
         a, b = node.left, node.right

@@ -49,6 +49,32 @@ def test_rewrites(code, wanted, rule):
     assert done == wanted and (rule in rules if rule else rules == [])
 
 
+@pytest.mark.parametrize(
+    ("code", "wanted"),
+    [
+        ("def f(x):\n    for i in range(len(x)):\n        print(x[i])", "def f(x):\n    for value_i in x:\n        print(value_i)"),
+        ("def f(x):\n    for i in range(len(x)):\n        print(i, x[i])", "def f(x):\n    for i, value_i in enumerate(x):\n        print(i, value_i)"),
+        ("def f(x):\n    for i in range(len(x)):\n        print(x[i])\n    return i", "def f(x):\n    for i, value_i in enumerate(x):\n        print(value_i)\n    return i"),
+        ("def f(x, y):\n    for i in range(len(x)):\n        print(x[i])\n    for i in range(len(y)):\n        print(y[i])", "def f(x, y):\n    for value_i in x:\n        print(value_i)\n    for value_i_ in y:\n        print(value_i_)"),
+        ("r = []\nfor i in range(len(x)):\n    r.append(x[i])", "r = [value_i for value_i in x]"),
+        (NESTED, NESTED.replace("for i in range(len(nums))", "for i, value_i in enumerate(nums)").replace("nums[i]", "value_i")),
+    ],
+)
+def test_direct_loops(code, wanted):
+    done, rules = rewrite.rewrite(code)
+    assert done == wanted and "direct_loop" in rules
+
+
+@pytest.mark.parametrize(
+    "body",
+    ["x[i] = x[i] + 1", "x[i] += 1", "del x[i]", "x.append(x[i])", "g(x, x[i])", "i = x[i]", "x = x[i]", "y = [x[i] for i in z]", "h = lambda: x[i]", "print(i)", "yield x[i]", "locals()[x[i]]"],
+)
+def test_loops_that_stay(body):
+    code = f"def f(x, z):\n    for i in range(len(x)):\n        {body}\n    return (x, y, h)"
+    assert rewrite.rewrite(code) == (code, [])
+    assert rewrite.rewrite("def len(x):\n    return 1\nfor i in range(len(x)):\n    print(x[i])")[1] == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(-50, 50), st.sampled_from(["+", "-", "*", "//", "%"])), min_size=1, max_size=6))
 def test_folding_keeps_the_value(parts):
