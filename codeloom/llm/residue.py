@@ -108,7 +108,8 @@ _KEYS = tuple(
     "lorem dummy placeholder filler sample goes supplied headline introduction follow blindtext platzhalter einfügen steht "
     "remplissage votre accrocheur compléter relleno escriba título ejemplo error fehler erreur http server page denied "
     "unavailable maintenance expired requests exception database moved wrong oops seite zugriff erreichbar demandée "
-    "interne refusé indisponible página interno denegado disponible script skript 40 41 42 50".split()
+    "interne refusé indisponible página interno denegado disponible script skript switch schalten found gateway forbidden "
+    "unauthorized bad gone internal service".split()
 )
 _REPEATED = re.compile(r"\b(\w+)(?: \1){3}\b", re.I)
 

@@ -52,3 +52,28 @@ def test_one_class_and_empty(spark):
     docs = spark.createDataFrame([(1, HEAD + "Hello there.", "s", "a@b")], "doc_id long, text string, subject string, from_addr string")
     assert R.residue(docs).count() == 0 and R.residue(docs.limit(0)).count() == 0
     assert np.isfinite(R.fit(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))).all()
+
+
+def test_every_phrase_holds_a_key():
+    import itertools
+    import re
+
+    def parts(pattern):
+        depth, out = 0, [""]
+        for c in pattern:
+            depth += (c == "(") - (c == ")")
+            if c == "|" and not depth:
+                out.append("")
+            else:
+                out[-1] += c
+        return out
+
+    plain = R.PHRASES.pattern.replace(r"\b", "").replace("[45]", "4").replace(r"\d", "9").replace("[ :]+", " ")
+    phrases = []
+    for part in parts(plain):
+        pieces = re.split(r"\(\?:([^()]*)\)", part)
+        choices = [piece.split("|") if at % 2 else [piece] for at, piece in enumerate(pieces)]
+        phrases += ["".join(choice) for choice in itertools.product(*choices)]
+    assert "switch them on" in phrases and "499 gone" in phrases
+    assert all(R.PHRASES.search(phrase) for phrase in phrases)
+    assert [p for p in phrases if not any(key in p.lower() for key in R._KEYS)] == []
