@@ -43,7 +43,7 @@ def messages():
 
 def test_classifier_decides(spark):
     rows = list(messages())
-    rows += [(900, None, None, None, False), (901, "", None, None, False), (902, "   ", "x", "y", False), (903, HEAD + " ".join(f"We found {k} rows without a key." for k in range(30000)), None, None, False)]
+    rows += [(900, None, None, None, False), (901, "", None, None, False), (902, "   ", "x", "y", False), (903, HEAD + " ".join(f"We found {k} rows without a key." for k in range(30000)) + "\n\nDear {{ first_name }},\n\nyour order %%ORDER%% is ready.", "note", None, True)]
     docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, subject string, from_addr string")
     found = {r.doc_id for r in R.residue(docs).collect()}
     assert found == {r[0] for r in rows if r[4]}
