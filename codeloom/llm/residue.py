@@ -11,8 +11,8 @@ without any such sign are negative. The other sentences of marked messages, and
 model fitted on the other half of the sample takes for residue, are relabelled by that model or
 left out, so that wording no rule knows (filler without its usual opening) is learned.
 
-It is fitted on the TRAIN_DOCS messages with the smallest hashed ids, a bounded sample, and
-validated on senders' hosts and on phrases that training never saw; every message is scored.
+It is fitted on the TRAIN_DOCS messages of at most TRAIN_CHARS characters with the smallest hashed
+ids, a bounded sample, and validated on senders' hosts and on phrases that training never saw; every message is scored.
 
 The author's own text is every inline text part, decoded, without quoted lines, quoted
 blocks after an attribution, forwarded originals, signatures and disclaimers.
@@ -40,8 +40,8 @@ from codeloom.llm.mime import _HIDDEN, _TAG, text_parts
 from codeloom.llm.shingles import hash_words, mix, split_words
 from codeloom.sources.tables import table
 
-#: Bound of the training sample, in messages.
-TRAIN_DOCS = 8000
+#: Bounds of the training sample, in messages and in characters of each; every message is scored, however long.
+TRAIN_DOCS, TRAIN_CHARS = 8000, 20_000
 FEATURES = 1 << 18
 L2 = 1e-6
 EPOCHS = 80
@@ -325,7 +325,7 @@ def weak_sample(docs: DataFrame, phrases: re.Pattern = PHRASES) -> Sample:
     # The share of hashes that holds about a quarter more than the bound; no task sorts them all.
     limit = min(2**63 - 1, (2**64 * 5 * TRAIN_DOCS) // (4 * max(n_docs, 1)) - 2**63)
     rank = F.xxhash64("doc_id")
-    sample = docs.where((rank <= limit) & (F.length(F.trim("text")) > 0))
+    sample = docs.where((rank <= limit) & (F.length(F.trim("text")) > 0) & (F.length("text") <= TRAIN_CHARS))
     rows = sample.select("doc_id", "text", "subject", "from_addr", rank.alias("rank")).toArrow().to_pylist()
     rows = sorted(rows, key=lambda r: (r["rank"], r["doc_id"] or 0))[:TRAIN_DOCS]
     hosts = sorted({_host(row["from_addr"]) for row in rows}, key=xxhash.xxh3_64_intdigest)
