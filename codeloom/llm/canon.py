@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.plans.durable import persist_table
-from codeloom.plans.workers import spread
 from codeloom.sources.tables import table
 
 # Fixed value: the operator signs that count in a comparison, beside letters and digits.
@@ -93,7 +92,7 @@ def canonical_key(text: F.Column) -> F.Column:
 
 def keyed_records(records: DataFrame, key: str, text: str) -> DataFrame:
     """(id, canon) of the rows that have something to compare."""
-    records = spread(records.select(F.col(key).alias("id"), F.col(text).alias("text")))
+    records = records.select(F.col(key).alias("id"), F.col(text).alias("text"))
     return records.select("id", canonical_key(F.col("text")).alias("canon")).where("canon IS NOT NULL")
 
 
@@ -154,9 +153,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_copies(keyed: DataFrame) -> DataFrame:
     """(rec, keep_id, copy_id) for (rec, id, canon) rows: every copy but the smallest id."""
+    # Saved first: range partitioning reads its input twice, once to sample it.
+    keyed = persist_table(keyed.select("rec", "canon", "id"), "keys")
     scanned = persist_table(
-        keyed.select("rec", "canon", "id")
-        .repartitionByRange("rec", "canon", "id")
+        keyed.repartitionByRange("rec", "canon", "id")
         .sortWithinPartitions("rec", "canon", "id")
         .mapInArrow(_scan, SCAN_SCHEMA),
         "copies",

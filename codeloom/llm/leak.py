@@ -3,7 +3,7 @@
 Method: greedy string tiling. Runs of MIN_WORDS words that a text part shares with an item are
 the seeds; they are found by joining run hashes with those of the items. For every part and
 item joined by a seed, the longest common stretch that overlaps no earlier one is marked again
-and again, Karp-Rabin hashes of the seeds telling where to look, until no stretch of MIN_WORDS
+and again by running Karp-Rabin matching, the search length falling until no stretch of MIN_WORDS
 is left. The marked words over the item's words are its coverage, whatever their order.
 
 Words are longest runs of letters and digits, lower-cased. Text parts are read as codeloom.llm
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.mime import readable, text_parts
 from codeloom.llm.shingles import hash_words, mix, split_words
-from codeloom.plans.workers import spread
 from codeloom.sources.tables import table
 
 MIN_WORDS = 12
+#: Share of an item's words from which a part counts as holding the item.
+COVERAGE = 0.5
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Words of the items of one pass, on average; 8 bytes each in the broadcast, twice.
 BLOCK_WORDS = 500_000
@@ -50,15 +51,41 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hash_words(words), begins
 
 
+_BASE = 0x9E3779B97F4A7C15
+_WHOLE = 1 << 64
+
+
+class Rolling:
+    """Karp-Rabin hashes of a word sequence: any run's hash in O(1), of any length."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        n = len(words)
+        back = pow(_BASE, -1, _WHOLE)
+        self.down = _powers(back, n + 1)
+        sums = np.cumsum(mix(words) * _powers(_BASE, n), dtype=np.uint64)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), sums])
+
+    def runs(self, k: int) -> np.ndarray:
+        """Hash of the ``k`` words from each position on."""
+        n = len(self.sums) - k
+        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.empty(0, np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... n - 1 modulo 2 ** 64, by doubling."""
+    out = np.ones(max(n, 1), np.uint64)
+    done = 1
+    while done < n:
+        step = np.uint64(pow(base, done, _WHOLE))
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * step
+        done += more
+    return out[:n]
+
+
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of the ``k`` words from each position on; the last of them reach past their text."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    runs = words[:n].copy()
-    for j in range(1, k):
-        runs = mix(runs) + words[j : n + j]
-    return runs
+    return Rolling(words).runs(k)
 
 
 def whole_runs(begins: np.ndarray, k: int) -> np.ndarray:
@@ -70,35 +97,62 @@ def whole_runs(begins: np.ndarray, k: int) -> np.ndarray:
     return at[at + k <= ends]
 
 
+def _open_runs(hashes: np.ndarray, marked: np.ndarray, k: int) -> np.ndarray:
+    """Positions whose ``k`` words are all unmarked; ``marked`` holds running counts."""
+    return np.flatnonzero(marked[k:] == marked[: len(hashes)])
+
+
 def tiles(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two word sequences: (start in a, start in b, length), longest first."""
-    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
-    seeds: dict[int, list[int]] = defaultdict(list)
-    for j, h in enumerate(run_hashes(b, k).tolist()):
-        seeds[h].append(j)
-    places = [(i, j) for i, h in enumerate(run_hashes(a, k).tolist()) for j in seeds.get(h, ())]
-    out = []
-    while places:
-        best = (0, 0, 0)
-        still = []
-        for i, j in places:
-            if not (free_a[i : i + k].all() and free_b[j : j + k].all()):
-                continue
-            still.append((i, j))
-            if i and j and free_a[i - 1] and free_b[j - 1] and a[i - 1] == b[j - 1]:
-                continue  # not the beginning of its stretch
-            n = 0
-            while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                n += 1
-            if n > best[2]:
-                best = (i, j, n)
-        if best[2] < k:
+    """Greedy string tiling of two word sequences: (start in a, start in b, length), longest first.
+
+    Running Karp-Rabin matching: the search length falls from the longest stretch that is left to
+    ``k``. It is found by doubling and halving over rolling hashes, for a stretch of some length
+    holds all shorter ones; at each length the matches are marked in order of their places. A pass costs
+    time in proportion to both lengths and never lists pairs of places, so one word over and
+    over costs no more than any other text.
+    """
+    roll_a, roll_b = Rolling(a), Rolling(b)
+    used_a, used_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    out: list[tuple[int, int, int]] = []
+    most = min(len(a), len(b))
+    while most >= k:
+        count_a, count_b = (np.concatenate([[0], np.cumsum(used)]) for used in (used_a, used_b))
+
+        def common(size: int, count_a=count_a, count_b=count_b) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Places in a and b of the open runs of ``size`` words that stand in both, and their hashes."""
+            ha, hb = roll_a.runs(size), roll_b.runs(size)
+            at_a, at_b = _open_runs(ha, count_a, size), _open_runs(hb, count_b, size)
+            ha, hb = ha[at_a], hb[at_b]
+            in_a, in_b = np.isin(ha, hb), np.isin(hb, ha)
+            return at_a[in_a], at_b[in_b], ha[in_a], hb[in_b]
+
+        low, high = k - 1, most + 1  # a stretch of low is there, none of high
+        size = k
+        while high - low > 1:
+            if len(common(size)[0]):
+                low, size = size, min(2 * size, (size + high + 1) // 2, high - 1)
+            else:
+                high, size = size, (low + size) // 2
+        if low < k:
             break
-        i, j, n = best
-        free_a[i : i + n] = False
-        free_b[j : j + n] = False
-        out.append(best)
-        places = still
+        most = low
+        at_a, at_b, hash_a, hash_b = common(low)
+        places: dict[int, list[int]] = defaultdict(list)
+        for j, h in zip(at_b[::-1].tolist(), hash_b[::-1].tolist(), strict=True):
+            places[h].append(j)
+        end = 0
+        for i, h in zip(at_a.tolist(), hash_a.tolist(), strict=True):
+            own = places[h]
+            while own and used_b[own[-1] : own[-1] + low].any():
+                own.pop()
+            if i < end or not own or not np.array_equal(a[i : i + low], b[own[-1] : own[-1] + low]):
+                continue
+            j = own.pop()
+            used_a[i : i + low] = used_b[j : j + low] = True
+            out.append((i, j, low))
+            end = i + low
+        if not out or out[-1][2] != low:  # equal hashes of different runs
+            most = low - 1
     return out
 
 
@@ -122,14 +176,16 @@ def _tile(block: tuple, k: int):
                 runs = run_hashes(words, k)[at] if len(at) else np.empty(0, np.uint64)
                 low, high = np.searchsorted(seeds, runs, "left"), np.searchsorted(seeds, runs, "right")
                 hit = np.flatnonzero(high > low)
-                pairs = set()
-                for h in hit:
-                    part = int(np.searchsorted(begins, at[h], side="right")) - 1
-                    pairs.update((part, int(x)) for x in seed_items[low[h] : high[h]])
+                # Per part and item the first and the last seed; every stretch lies between them.
+                reach: dict[tuple[int, int], list[int]] = {}
+                part_of = np.searchsorted(begins, at[hit], side="right") - 1
+                for h, part in zip(hit.tolist(), part_of.tolist(), strict=True):
+                    for item in np.unique(seed_items[low[h] : high[h]]).tolist():
+                        reach.setdefault((part, item), [at[h], at[h]])[1] = at[h]
                 out = []
-                for part, item in sorted(pairs):
+                for (part, item), (first, last) in reach.items():
                     own = item_words[item_begins[item] : item_begins[item + 1]]
-                    found = tiles(words[begins[part] : begins[part + 1]], own, k)
+                    found = tiles(words[first : last + k], own, k)
                     if found:
                         lengths = [n for _, _, n in found]
                         out.append(
@@ -164,7 +220,7 @@ def tile_corpus(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -
     n_words = items.select(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first().n or 0
     n_blocks = max(1, -(-n_words // BLOCK_WORDS))
     passes = []
-    docs = spread(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
     for number in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == number).collect()
         shared = docs.sparkSession.sparkContext.broadcast(_block(rows, min_words))
@@ -185,14 +241,17 @@ def p7_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p7_items(spark: SparkSession, directory: str) -> DataFrame:
-    """Per leaked item: messages that hold some of it, and the best coverage in one part."""
+    """Per leaked item: messages that hold some of it, the best coverage in one part, and the
+    messages with a part that covers COVERAGE of it or more, in whatever order."""
+    covered = F.col("n_covered") / F.col("n_words")
     return (
         _tiles(spark, directory)
         .groupBy("item_id")
         .agg(
             F.countDistinct("doc_id").alias("n_docs"),
             F.max("longest").alias("longest"),
-            F.round(F.max(F.col("n_covered") / F.col("n_words")), 6).alias("coverage"),
+            F.round(F.max(covered), 6).alias("coverage"),
+            F.countDistinct(F.when(covered >= COVERAGE, F.col("doc_id"))).alias("n_covering"),
         )
     )
 

@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from codeloom.functions.syntax import parse
 from codeloom.llm.seeds import CODE, NATURAL
 from codeloom.llm.shingles import mix
-from codeloom.plans.workers import spread
 from codeloom.sources.tables import table
 
 TYPES = ("refusal", "empty", "copied", "other_language", "truncated")
@@ -141,7 +140,7 @@ REFUSAL = re.compile(
 #: Words without which no refusal can match; looked for before the pattern is tried.
 _DECLINE_KEYS = tuple(
     "can't cannot unable won't decline refuse sorry comfortable appropriate offered provided polic processed guideline "
-    "permitted allowed assistant".split()
+    "permitted allowed assistant model".split()
 ) + ("can not", "could not", "not able", "will not", "have to pass", "be given", "rules do")
 # What stands in for content once signs are stripped.
 STAND_INS = frozenset(
@@ -203,27 +202,47 @@ def is_stand_in(text: str | None, code: bool) -> bool:
     bare = _SIGNS.sub("", _FENCE.sub("", text)).lower()
     if not bare or bare in STAND_INS:
         return True
-    if not code or len(text) > 600:
+    if not code:
         return False
     lines = [x for x in (_bare(x) for x in _uncommented(code_of(text)).split("\n")) if x]
     body = [x for x in lines if not x.startswith(("def", '"""', "'''", "class", "import", "from"))]
     return len(lines) > 0 and all(map(_HOLLOW.match, body)) and (len(body) > 0 or not lines[-1].startswith("def"))
 
 
+def _introduced(code: str, text: str) -> bool:
+    """``text`` without layout is ``code``, or an introduction of one or two sentences and then ``code``.
+
+    The code begins a line, or stands behind a colon on the line of the introduction.
+    """
+    if not _bare(text).endswith(code):
+        return False
+    lines = text.split("\n")
+    rest = ""
+    for at in range(len(lines) - 1, -1, -1):
+        for head, tail in (("", lines[at]), *((lines[at][: m.end()], lines[at][m.end() :]) for m in re.finditer(":", lines[at]))):
+            if _bare(tail) + rest == code:
+                before = "\n".join([*lines[:at], head]).strip()
+                return len(_SENTENCE.split(before)) <= 2
+        rest = _bare(lines[at]) + rest
+        if len(rest) > len(code):
+            return False
+    return False
+
+
+_SENTENCE = re.compile(r"(?<=[.!?:])\s+")
+
+
 def is_copy(question: str | None, answer: str, explanation: str) -> bool:
     if not question:
         return False
     own = bare_code(question)
-    if len(own) < 15:
+    if not own:
         return False
     if bare_code(answer) == own:
         return True
     # An introduction may stand before the code in the explanation, on its line or above it.
-    whole, said = _bare(_FENCE.sub("", question)), _bare(_FENCE.sub("", explanation))
-    for code, text in ((whole, said), (own, _bare(_uncommented(_FENCE.sub("", explanation))))):
-        if len(code) >= 15 and text.endswith(code) and len(text) - len(code) <= 120:
-            return True
-    return False
+    said = _FENCE.sub("", explanation)
+    return _introduced(_bare(_FENCE.sub("", question)), said) or _introduced(own, _uncommented(said))
 
 
 # --- end-of-text likelihood ---------------------------------------------------------------
@@ -402,7 +421,7 @@ def defective_pairs(pairs: DataFrame) -> DataFrame:
     ``pairs`` has (result_id, original_code, optimized_code, explanation).
     """
     columns = ("result_id", "original_code", "optimized_code", "explanation")
-    pairs = spread(pairs.select(*columns))
+    pairs = pairs.select(*columns)
     shared = pairs.sparkSession.sparkContext.broadcast(end_likelihoods(pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,6 +65,39 @@ def test_tiling_marks_longest_first_and_covers_reordered_passages():
     assert leak.tiles(np.array([1, 1, 1, 1], np.uint64), np.array([1, 1], np.uint64), 2) == [(0, 0, 2)]
 
 
+def test_tiling_equals_brute_force():
+    def brute(a, b, k):
+        used_a, used_b, out = set(), set(), []
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                        n += 1
+                    if n > best[2]:
+                        best = (i, j, n)
+            i, j, n = best
+            if n < k:
+                return out
+            used_a |= set(range(i, i + n))
+            used_b |= set(range(j, j + n))
+            out.append(best)
+
+    draw = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = draw.integers(0, 3, draw.integers(0, 24)).astype(np.uint64), draw.integers(0, 3, draw.integers(0, 16)).astype(np.uint64)
+        assert leak.tiles(a, b, 2) == brute(a.tolist(), b.tolist(), 2)
+
+
+def test_one_word_over_and_over_is_no_hot_pair():
+    import time
+
+    start = time.perf_counter()
+    assert leak.tiles(np.full(100_000, 7, np.uint64), np.full(300, 7, np.uint64), 12) == [(0, 0, 300)]
+    assert time.perf_counter() - start < 2
+
+
 def test_broken_mime():
     assert mime.text_parts("") == [mime.Part("plain", "", False)]
     assert mime.text_parts("Content-Type: multipart/mixed\n\nbody")[0].text == "body"

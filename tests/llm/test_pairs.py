@@ -28,6 +28,11 @@ CASES = [
     (ASKED, "Here is the optimized version:\n\n" + ASKED.replace("  # pair", "") + "\n", SAID, "copied"),
     (ASKED, "```python\n" + ASKED + "\n```", SAID, "copied"),
     (ASKED, FAST, "You asked: " + ASKED, "copied"),
+    ("x = y + 1", "x = y+1", SAID, "copied"),
+    ("x = y + 1", "x = y + 2", SAID, None),
+    (ASKED, FAST, "Here is what you asked for, as it was sent to me by the people of the second floor who keep the old ledger of all the pairs and never throw a single page of it away:\n" + ASKED, "copied"),
+    (ASKED, "\n\n".join(f"def f{i}(rows, k=3):\n    pass" for i in range(60)), SAID, "empty"),
+    (ASKED, FAST, "As an AI model, I only give general advice.", "refusal"),
     (ASKED, GO, SAID, "other_language"),
     (ASKED, FAST, "Die innere Schleife wurde durch einen Zugriff auf seen ersetzt. Der Aufwand sinkt von O(n²) auf O(n).", "other_language"),
     (ASKED, FAST, "Порядок вывода не меняется.", "other_language"),

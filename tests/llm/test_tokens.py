@@ -19,6 +19,13 @@ def test_ids_and_round_trip(spark):
     assert back == {i: t or "" for i, t, _ in rows}
 
 
+def test_decoding_of_nulls_and_cut_characters(spark):
+    own = tokens._coder(f"{tokens.TOKENIZER_DIR}/{tokens.RANKS_FILE}")
+    cut = own.encode_ordinary("日")[:1]
+    rows = spark.createDataFrame([(1, None), (2, []), (3, cut), (4, own.encode_ordinary("größe"))], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in tokens.decode_corpus(rows).collect()} == {1: None, 2: "", 3: "\ufffd", 4: "größe"}
+
+
 def test_word_table_encodes_each_word_once(spark):
     docs = spark.createDataFrame([(1, "red red green blue"), (2, "red green green")], "doc_id long, text string").coalesce(1)
     found = {r.word: (r.n, list(r.ids)) for r in tokens.word_table(docs).collect()}
