@@ -26,10 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.shingles import list_array, mix, run_sets, slices
+from codeloom.llm.spots import bit_filter, hits, pick, spot
 from codeloom.plans.durable import persist_table
 from codeloom.sources.tables import table
 
@@ -84,22 +86,26 @@ def frequent_terms(vectors: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "term").limit(FREQUENT_TERMS)
 
 
-def _indexed(frequent: tuple[np.ndarray, np.ndarray], cosine: float):
-    """mapInArrow function: the indexed part of (cid, sides, n, terms, weights) vectors.
+def _indexed(frequent: tuple[np.ndarray, np.ndarray], cosine: float, skip: np.ndarray | None):
+    """mapInArrow function: the indexed part of (field, cid, spot, terms[, weights]) vectors.
 
     One row per indexed term: its weight in the unit vector, the residual norm of all terms
     before it, and the vector's largest weight and weight sum for the bound by maximum weights.
+    Without weights all are 1. Vectors whose spot is in ``skip`` give nothing. Numbers are rounded to
+    32 bits, which SLACK makes up for.
     """
     terms, ranks = frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if skip is not None:
+                batch = batch.filter(pa.array(~hits(skip, batch.column(2).to_numpy())))
             if not batch.num_rows:
                 continue
             lists = batch.column(3)
             flat = lists.flatten().to_numpy()
-            weights = batch.column(4).flatten().to_numpy()
-            counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            weights = batch.column(4).flatten().to_numpy() if batch.num_columns > 4 else np.ones(len(flat))
+            counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
             rows = np.repeat(np.arange(batch.num_rows), counts)
             at = np.searchsorted(terms, flat)
             at[at == len(terms)] = 0
@@ -116,49 +122,61 @@ def _indexed(frequent: tuple[np.ndarray, np.ndarray], cosine: float):
             residual = np.sqrt(np.maximum(upto - unit * unit, 0))
             largest, total = np.maximum.reduceat(unit, starts), np.add.reduceat(unit, starts)
             own = rows[index]
+            take = pa.array(own)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(own)),
-                    batch.column(1).take(pa.array(own)),
-                    batch.column(2).take(pa.array(own)),
-                    pa.array(flat[index]),
-                    pa.array(unit[index]),
-                    pa.array(residual[index]),
-                    pa.array(largest[own]),
-                    pa.array(total[own]),
-                ],
-                names=["field", "cid", "sides", "term", "w", "residual", "largest", "total"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(flat[index])]
+                + [pa.array(x.astype(np.float32)) for x in (unit[index], residual[index], largest[own], total[own])],
+                names=["field", "cid", "term", "w", "residual", "largest", "total"],
             )
 
     return run
 
 
-INDEXED = "field int, cid long, sides int, term long, w double, residual double, largest double, total double"
+INDEXED = "field int, cid long, term long, w float, residual float, largest float, total float"
+#: What rounding to 32 bits may take from a sum of products, far above it.
+SLACK = 1e-4
 
 
-def weighted_cosine_pairs(vectors: DataFrame, frequent: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(field, x, y, cosine): training class x and evaluation class y with at least ``cosine``.
+def weighted_cosine_pairs(vectors: DataFrame, frequent: DataFrame, cosine: float = COSINE, copies: DataFrame | None = None) -> DataFrame:
+    """(field, x, y, cosine, shared, nx, ny): vector x of the training side and y of the evaluation
+    side with at least ``cosine``, their common terms and the terms of either.
 
-    ``vectors`` has (field, cid, sides, terms, weights): positive weights of different terms;
-    the bits of ``sides`` tell the sides a class has rows on.
+    ``vectors`` has (field, cid, sides, terms) and perhaps weights: positive weights of different
+    terms; the bits of ``sides`` tell the sides a vector has rows on. ``copies`` may tell of equal
+    vectors: (field, cid, cls, sides) of each; then only the one that names its class takes part,
+    with the sides of its class.
     """
     top = frequent.toArrow()
     terms = top.column("term").to_numpy().astype(np.int64)
     order = np.argsort(terms)
-    shared = vectors.sparkSession.sparkContext.broadcast((terms[order], order.astype(np.int64)))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _indexed(shared.value, cosine)(batches)
-
-    lists = persist_table(
-        vectors.select("field", "cid", "sides", "terms", "weights").mapInArrow(index, INDEXED), "lists"
-    )
-    train = lists.where(F.col("sides").bitwiseAND(TRAIN) != 0).alias("t")
-    held = lists.where(F.col("sides").bitwiseAND(EVALUATION) != 0).alias("e")
+    context = vectors.sparkSession.sparkContext
+    shared = context.broadcast((terms[order], order.astype(np.int64)))
+    has_weights = ["weights"] if "weights" in vectors.columns else []
+    skip = bit_filter(copies, "field", "cid") if copies is not None else None
+    skipped = context.broadcast(skip)
+    plain = ["field", "cid", "sides", "terms", *has_weights]
+
+    def lists(rows: DataFrame, side: int, leave: bool) -> DataFrame:
+        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _indexed(shared.value, cosine, skipped.value if leave else None)(batches)
+
+        own = rows.where(F.col("sides").bitwiseAND(side) != 0)
+        return own.select("field", "cid", spot("field", "cid"), "terms", *has_weights).mapInArrow(index, INDEXED)
+
+    vectors = vectors.select(*plain)
+    if copies is None:
+        train, held = lists(vectors, TRAIN, False), lists(vectors, EVALUATION, False)
+    else:
+        # Vectors that may have copies go through a join, all others are indexed where they are.
+        told = copies.select("field", "cid", "cls", F.col("sides").alias("all_sides"))
+        again = pick(vectors, ("field", "cid"), skip).join(told, ["field", "cid"], "left").where("cls IS NULL OR cls = cid")
+        again = again.withColumn("sides", F.coalesce("all_sides", "sides")).select(*plain)
+        train, held = (lists(vectors, side, True).unionByName(lists(again, side, False)) for side in (TRAIN, EVALUATION))
+    train, held = train.alias("t"), held.alias("e")
     bound = F.least(F.col("t.largest") * F.col("e.total"), F.col("e.largest") * F.col("t.total"))
     dots = (
         train.join(held, (F.col("t.field") == F.col("e.field")) & (F.col("t.term") == F.col("e.term")))
-        .where((bound >= cosine - 1e-9) & (F.col("t.cid") != F.col("e.cid")))
+        .where((bound >= cosine - SLACK) & (F.col("t.cid") != F.col("e.cid")))
         .groupBy(F.col("t.field").alias("field"), F.col("t.cid").alias("x"), F.col("e.cid").alias("y"))
         .agg(
             F.sum(F.col("t.w") * F.col("e.w")).alias("dot"),
@@ -167,25 +185,57 @@ def weighted_cosine_pairs(vectors: DataFrame, frequent: DataFrame, cosine: float
     )
     # After the first common indexed term every common term is indexed in both vectors, so what
     # is missing from the sum stands before it, where the residual norms are smallest.
-    pairs = dots.where(F.col("dot") + F.col("rest") >= cosine - 1e-9).select("field", "x", "y")
-    x = vectors.select("field", F.col("cid").alias("x"), F.map_from_arrays("terms", "weights").alias("vx"))
-    y = vectors.select("field", F.col("cid").alias("y"), F.map_from_arrays("terms", "weights").alias("vy"))
-    exact = pairs.join(x, ["field", "x"]).join(y, ["field", "y"])
-    return (
-        exact.withColumn("dot", _dot("vx", "vy"))
-        .withColumn("cosine", F.col("dot") / F.sqrt(_dot("vx", "vx") * _dot("vy", "vy")))
-        .where(F.col("cosine") >= cosine - 1e-9)
-        .select("field", "x", "y", "cosine", F.size(F.array_intersect(F.map_keys("vx"), F.map_keys("vy"))).alias("shared"))
-    )
+    pairs = persist_table(dots.where(F.col("dot") + F.col("rest") >= cosine - SLACK).select("field", "x", "y"), "dots")
+    wanted = pairs.select("field", F.col("x").alias("cid")).unionAll(pairs.select("field", "y"))
+    terms_of = pick(vectors.select("field", "cid", "terms", *has_weights), ("field", "cid"), bit_filter(wanted, "field", "cid"))
+    x = terms_of.select("field", F.col("cid").alias("x"), F.col("terms").alias("tx"), *[F.col(w).alias("wx") for w in has_weights])
+    y = terms_of.select("field", F.col("cid").alias("y"), F.col("terms").alias("ty"), *[F.col(w).alias("wy") for w in has_weights])
+    both = pairs.join(x, ["field", "x"]).join(y, ["field", "y"])
+    return both.select("field", "x", "y", "tx", "ty", *[w for own in has_weights for w in ("wx", "wy")]).mapInArrow(_exact(cosine), EXACT)
 
 
-def _dot(a: str, b: str) -> Column:
-    terms = F.map_keys(a) if a == b else F.array_intersect(F.map_keys(a), F.map_keys(b))
-    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.element_at(a, t) * F.element_at(b, t))
+EXACT = "field int, x long, y long, cosine double, shared int, nx int, ny int"
 
 
-def cross_split_pairs(records: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b, of (id, split_name, *FIELDS) rows: one in train, one not."""
+def _exact(cosine: float):
+    """mapInArrow function: exact dot products of (field, x, y, tx, ty[, wx, wy]), by merging sorted terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                n, sides = batch.num_rows, []
+                for at in (3, 4):
+                    lists = batch.column(at)
+                    counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
+                    rows, flat = np.repeat(np.arange(n), counts), lists.flatten().to_numpy()
+                    weights = batch.column(at + 2).flatten().to_numpy() if batch.num_columns > 5 else np.ones(len(flat))
+                    sides.append((counts, rows, flat, weights, np.bincount(rows, weights * weights, n)))
+                (nx, rx, fx, wx, sx), (ny, ry, fy, wy, sy) = sides
+                # Terms as numbers of the batch, so that a row and a term make one key.
+                known, number = np.unique(np.concatenate([fx, fy]), return_inverse=True)
+                kx, ky = rx * len(known) + number[: len(fx)], ry * len(known) + number[len(fx) :]
+                _, ix, iy = np.intersect1d(kx, ky, assume_unique=True, return_indices=True)
+                dot = np.bincount(rx[ix], wx[ix] * wy[iy], n)
+                told = dot / np.sqrt(np.maximum(sx * sy, 1e-300))
+                common = np.bincount(rx[ix], minlength=n)
+                keep = told >= cosine - 1e-9
+                columns = [pa.array(c[keep].astype(np.int32)) for c in (common, nx, ny)]
+                kept = batch.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column(0), kept.column(1), kept.column(2), pa.array(told[keep]), *columns],
+                    names=["field", "x", "y", "cosine", "shared", "nx", "ny"],
+                )
+
+    return run
+
+
+def class_pairs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, copies) of (id, split_name, *FIELDS) rows.
+
+    pairs: (field, x, y) of classes of equal sets, x with rows in train and y with rows in another
+    split; a class has the least id of its rows. copies: (field, cid, side, cls, sides) of all
+    rows of the classes with several.
+    """
     name = F.lower(F.trim("split_name"))
     side = F.when(name == "train", TRAIN).otherwise(EVALUATION).cast("int")
     vectors = persist_table(
@@ -194,30 +244,38 @@ def cross_split_pairs(records: DataFrame) -> DataFrame:
         .mapInArrow(_vectors, VECTORS),
         "vectors",
     )
-    classes = persist_table(
-        vectors.groupBy("field", "sid", "n").agg(
-            F.min("id").alias("cid"), F.bit_or("side").alias("sides"), F.first("terms").alias("terms")
-        ),
-        "classes",
-    )
-    weighted = classes.select("field", "cid", "sides", "terms", F.array_repeat(F.lit(1.0), F.col("n")).alias("weights"))
-    near = weighted_cosine_pairs(weighted, frequent_terms(vectors))
-    size = classes.select("field", "cid", "n")
-    near = (
-        near.join(size.select("field", F.col("cid").alias("x"), F.col("n").alias("nx")), ["field", "x"])
-        .join(size.select("field", F.col("cid").alias("y"), F.col("n").alias("ny")), ["field", "y"])
-        .where(OF * F.col("shared") >= SHARE * (F.col("nx") + F.col("ny") - F.col("shared")))
-        .select("field", "x", "y")
-    )
-    same = classes.where(F.col("sides") == TRAIN + EVALUATION).select("field", F.col("cid").alias("x"), F.col("cid").alias("y"))
-    pairs = persist_table(near.unionByName(same), "pairs")
-    members = vectors.join(classes.select("field", "sid", "n", "cid"), ["field", "sid", "n"])
-    train = members.where(F.col("side") == TRAIN).select("field", F.col("cid").alias("x"), F.col("id").alias("a"))
-    held = members.where(F.col("side") == EVALUATION).select("field", F.col("cid").alias("y"), F.col("id").alias("b"))
-    rows = pairs.join(train, ["field", "x"]).join(held, ["field", "y"])
+    key = ["field", "sid", "n"]
+    classes = vectors.groupBy(*key).agg(F.min("id").alias("cls"), F.bit_or("side").alias("sides"), F.count(F.lit(1)).alias("size"))
+    several = persist_table(classes.where("size > 1").drop("size"), "classes")
+    keys = pick(vectors.select(*key, "id", "side"), tuple(key), bit_filter(several, *key))
+    copies = persist_table(keys.join(several, key).select("field", F.col("id").alias("cid"), "side", "cls", "sides"), "copies")
+    own = vectors.select("field", F.col("id").alias("cid"), F.col("side").alias("sides"), "terms")
+    near = weighted_cosine_pairs(own, frequent_terms(vectors), copies=copies)
+    near = near.where(OF * F.col("shared") >= SHARE * (F.col("nx") + F.col("ny") - F.col("shared"))).select("field", "x", "y")
+    same = several.where(F.col("sides") == TRAIN + EVALUATION).select("field", F.col("cls").alias("x"), F.col("cls").alias("y"))
+    return persist_table(near.unionByName(same), "pairs"), copies
+
+
+def _members(pairs: DataFrame, copies: DataFrame, end: str, side: int, name: str) -> DataFrame:
+    """``pairs`` with ``name``, a row for every row of the class ``end`` on a side."""
+    own = copies.where(F.col("side") == side).select("field", F.col("cls").alias(end), F.col("cid").alias(name))
+    return pairs.join(own, ["field", end], "left").withColumn(name, F.coalesce(name, end))
+
+
+def cross_split_pairs(records: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, of (id, split_name, *FIELDS) rows: one in train, one not."""
+    pairs, copies = class_pairs(records)
+    rows = _members(_members(pairs, copies, "x", TRAIN, "a"), copies, "y", EVALUATION, "b")
     return rows.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
+def leaked_rows(records: DataFrame) -> DataFrame:
+    """(id) of the evaluation rows with a partner in train: class members, no row pairs."""
+    pairs, copies = class_pairs(records)
+    ends = pairs.select("field", "y").distinct()
+    return _members(ends, copies, "y", EVALUATION, "id").select("id").distinct()
+
+
 def _records(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "simple_dataset_generator").select(
         F.col("example_id").alias("id"), "split_name", *FIELDS
@@ -233,8 +291,7 @@ def p5_report(spark: SparkSession, directory: str) -> DataFrame:
     rows = table(spark, directory, "simple_dataset_generator").select(
         F.col("example_id").alias("id"), F.lower(F.trim("split_name")).alias("split_name"), "source"
     )
-    pairs = persist_table(cross_split_pairs(_records(spark, directory)), "found")
-    hit = pairs.select(F.col("id_a").alias("id")).union(pairs.select("id_b")).distinct().withColumn("hit", F.lit(1))
+    hit = leaked_rows(_records(spark, directory)).withColumn("hit", F.lit(1))
     return (
         rows.where("split_name <> 'train'")
         .join(hit, "id", "left")

@@ -6,15 +6,15 @@ the ROOT_RUNS independent runs taking another position. A node with at most BRUT
 members is compared pair by pair; a larger one is split again, on CHILD_SPLITS positions that
 are neither a root's nor another split's, down to DEPTH splits. What is still large then goes to an exact prefix-filter join
 (rarest tokens of each set), so no bucket is ever cut short. Pairs of small nodes pass a
-sketch of SKETCH_BITS one-bit min-hashes and are then verified exactly on the texts.
+sketch, two bits of the min-hash of every position, and are then verified exactly on the texts.
 
 Recall: a pair with similarity s shares a root node with probability 1 - (1 - s) ** ROOT_RUNS,
 that is 0.999994 at the threshold of 0.7, more above it. RUNS_PER_GROUP runs share their split
 positions, groups share none, so that a pair whose tokens are all hot is missed with the
 probability of ``miss``: 6.7e-6 after one split and 7.5e-6 after two, at the threshold. The
-sketch turns away a pair at the threshold with a probability of 1.0e-6 (fewer than SKETCH_AGREE
-of SKETCH_BITS bits equal, each equal with 0.85), which keeps all of it at TARGET_RECALL, and
-lets one in 75,000 unrelated pairs through.
+sketch turns away a pair at the threshold with a probability of ``sketch_miss`` (fewer than
+SKETCH_AGREE of the positions equal, each equal with 0.775), which keeps all of it at TARGET_RECALL,
+and lets about one in 37,000 unrelated pairs through.
 
 Skew: copies are joined as one class first. A node with more than BRUTE_FORCE members in one
 batch is known to be large: its rows are spread over salts and one row per batch tells the
@@ -33,11 +33,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.canon import canonical_json, canonical_key, canonical_text
 from codeloom.llm.shingles import list_array, mix, run_sets, slices
+from codeloom.llm.spots import bit_filter, hits, pick, spot
 from codeloom.plans.durable import persist_table
 from codeloom.sources.tables import table
 
@@ -50,11 +52,8 @@ DEPTH = 2
 RUNS_PER_GROUP = 2
 GROUPS = ROOT_RUNS // RUNS_PER_GROUP
 BRUTE_FORCE = 250
-SKETCH_BITS = 128
 #: Parts that the rows of a hot node are spread over.
 SALTS = 1024
-#: Bits of the filter that keeps texts without a candidate from being moved: 4 MB at any size.
-FILTER_BITS = 25
 #: A class or row is named by id * TABLES + rec.
 TABLES = 16
 
@@ -65,24 +64,28 @@ def miss(similarity: float, splits: int, child_splits: int) -> float:
     return (1 - (1 - apart**RUNS_PER_GROUP) * (1 - apart**child_splits) ** splits) ** GROUPS
 
 
-def sketch_miss(similarity: float, agree: int) -> float:
-    """Probability that fewer than ``agree`` bits of a pair's sketches are equal."""
-    equal = (1 + similarity) / 2
-    return sum(math.comb(SKETCH_BITS, k) * equal**k * (1 - equal) ** (SKETCH_BITS - k) for k in range(agree))
+def sketch_miss(similarity: float, agree: int, positions: int) -> float:
+    """Probability that a pair's sketches agree at fewer than ``agree`` positions."""
+    equal = similarity + (1 - similarity) / 4
+    return sum(math.comb(positions, k) * equal**k * (1 - equal) ** (positions - k) for k in range(agree))
 
 
-#: The fewest splits, then the most bits, that keep TARGET_RECALL for a pair at the threshold whose tokens are all hot.
+#: The fewest splits that keep TARGET_RECALL for a pair at the threshold whose tokens are all hot.
 CHILD_SPLITS = next(k for k in range(1, 64) if miss(SHARE / OF, DEPTH, k) < 1 - TARGET_RECALL)
-SKETCH_AGREE = max(k for k in range(SKETCH_BITS) if miss(SHARE / OF, DEPTH, CHILD_SPLITS) + sketch_miss(SHARE / OF, k) <= 1 - TARGET_RECALL)
 CHILD_POSITIONS = DEPTH * GROUPS * CHILD_SPLITS
 POSITIONS = ROOT_RUNS + CHILD_POSITIONS
+#: The most positions that a pair's sketches must agree at and still keep TARGET_RECALL.
+SKETCH_AGREE = max(
+    k for k in range(POSITIONS) if miss(SHARE / OF, DEPTH, CHILD_SPLITS) + sketch_miss(SHARE / OF, k, POSITIONS) <= 1 - TARGET_RECALL
+)
 #: Numbers in a row of min-hashes: 32 bits for a root position, 16 for a split position.
 MINS = ROOT_RUNS + -(-CHILD_POSITIONS // 2)
 
 _FACTORS = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _TERMS = mix(np.arange(1001, 1001 + POSITIONS, dtype=np.uint64))
-_SKETCH = (mix(np.arange(2001, 2001 + SKETCH_BITS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_PARITY = np.uint32(0x85EBCA6B)
+#: Positions in each half of a sketch, two bits each.
+HALF = 32
+assert POSITIONS <= 2 * HALF
 
 SKETCH = ("sketch_1", "sketch_2")
 FEATURES = "key long, c1 long, c2 long, n int, sid long, mins array<int>, sketch_1 long, sketch_2 long"
@@ -100,16 +103,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             identity = np.add.reduceat(mix(runs), starts)
             mins = np.zeros((len(starts), MINS), np.int32)
             split = mins[:, ROOT_RUNS:].view(np.uint16)
+            sketch = np.zeros((2, len(starts)), np.uint64)
             for p in range(POSITIONS):
                 low = np.minimum.reduceat(runs * _FACTORS[p] + _TERMS[p], starts)
+                mixed = mix(low)
                 if p < ROOT_RUNS:
                     mins[:, p] = (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 else:
-                    split[:, p - ROOT_RUNS] = mix(low) >> np.uint64(48)
-            short, sketch = (runs >> np.uint64(16)).astype(np.uint32), np.zeros((SKETCH_BITS // 64, len(starts)), np.uint64)
-            for bit in range(SKETCH_BITS):
-                low = np.minimum.reduceat(short * _SKETCH[bit], starts)
-                sketch[bit // 64] |= ((low * _PARITY >> np.uint32(31)).astype(np.uint64)) << np.uint64(bit % 64)
+                    split[:, p - ROOT_RUNS] = mixed >> np.uint64(48)
+                sketch[p // HALF] |= (mixed & np.uint64(3)) << np.uint64(2 * (p % HALF))
             keep = pa.array(has)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).filter(keep) for i in range(3)]
@@ -156,17 +158,26 @@ def _mins(lists: pa.ListArray) -> np.ndarray:
     return lists.flatten().to_numpy().reshape(-1, MINS)
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n, mins, sketch) to the nodes of every run; the table takes part in the node."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        mins = _mins(batch.column(2))[:, :ROOT_RUNS].astype(np.int64)
-        key = np.repeat(batch.column(0).to_numpy(), ROOT_RUNS)
-        at = np.tile(np.arange(ROOT_RUNS), len(mins))
-        node = mix(mix(mins.ravel().view(np.uint64)) + (at + 100 * (key % TABLES)).astype(np.uint64)).view(np.int64)
-        n, *sketch = (np.repeat(batch.column(i).to_numpy(), ROOT_RUNS) for i in (1, 3, 4))
-        yield _salted(node, key, at, n, sketch)
+def _roots(skip: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, n, mins, sketch, spot) to the nodes of every run; the table takes part in the node.
+
+    Rows whose spot is in the filter give nothing, if there is one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if skip.value is not None:
+                batch = batch.filter(pa.array(~hits(skip.value, batch.column(5).to_numpy())))
+            if not batch.num_rows:
+                continue
+            mins = _mins(batch.column(2))[:, :ROOT_RUNS].astype(np.int64)
+            key = np.repeat(batch.column(0).to_numpy(), ROOT_RUNS)
+            at = np.tile(np.arange(ROOT_RUNS), len(mins))
+            node = mix(mix(mins.ravel().view(np.uint64)) + (at + 100 * (key % TABLES)).astype(np.uint64)).view(np.int64)
+            n, *sketch = (np.repeat(batch.column(i).to_numpy(), ROOT_RUNS) for i in (1, 3, 4))
+            yield _salted(node, key, at, n, sketch)
+
+    return run
 
 
 def split_positions(depth: int) -> np.ndarray:
@@ -193,6 +204,12 @@ def _children(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return split
 
 
+def _different(bits: np.ndarray) -> np.ndarray:
+    """Two-bit groups that are not zero."""
+    bits = bits.view(np.uint64)
+    return np.bitwise_count((bits | bits >> np.uint64(1)) & np.uint64(0x5555555555555555)).astype(np.int64)
+
+
 #: A candidate pair (a < b), or a row of a large node: its node and run in ``b`` and ``at``.
 SCANNED = "a long, b long, at int"
 PAIR = -1
@@ -222,7 +239,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             x, y = left, left + step
             least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            equal = SKETCH_BITS - sum(np.bitwise_count((part[x] ^ part[y]).view(np.uint64)).astype(np.int64) for part in sketch)
+            equal = POSITIONS - sum(_different(part[x] ^ part[y]) for part in sketch)
             fits = (OF * least >= SHARE * most) & (equal >= SKETCH_AGREE) & (key[x] != key[y])
             a.append(np.minimum(key[x], key[y])[fits])
             b.append(np.maximum(key[x], key[y])[fits])
@@ -305,30 +322,8 @@ def prefix_candidates(sets: DataFrame) -> DataFrame:
 
 
 def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """At least the (key, text) rows of the wanted keys, without moving the others.
-
-    The filter has 2 ** FILTER_BITS bits at any size, folded in Spark; where it fills up, more
-    texts pass and the joins that follow drop them.
-    """
-    spot = F.shiftrightunsigned(F.xxhash64("key"), 64 - FILTER_BITS)
-    bits = (
-        wanted.select(spot.alias("spot"))
-        .groupBy(F.shiftright("spot", 5).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(spot & 31 AS int)))").alias("bits"))
-        .toArrow()
-    )
-    words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    words[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().astype(np.uint32)
-    shared = texts.sparkSession.sparkContext.broadcast(words)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            hit = (known[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)
-            yield batch.filter(pa.array(hit.astype(bool))).select([0, 1])
-
-    return texts.select("key", "text", spot.alias("spot")).mapInArrow(pick, "key long, text string")
+    """At least the (key, text) rows of the wanted keys, without moving the others."""
+    return pick(texts.select("key", "text"), ("key",), bit_filter(wanted, "key"))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,27 +344,36 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(good)).select([0, 1])
 
 
-def similar_classes(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b), a < b, of similar classes by the chosen-path join."""
-    pairs, large = _split(classes.select("key", "n", "mins", *SKETCH).mapInArrow(_roots, NODES))
-    found = [pairs]
+def similar_classes(texts: DataFrame, found: DataFrame, copies: DataFrame) -> DataFrame:
+    """(a, b), a < b, of similar classes by the chosen-path join.
+
+    ``found`` has FEATURES of all rows; those in ``copies`` take no part. Rows that may be copies
+    go through a join, all others start where they are.
+    """
+    columns = ("key", "n", "mins", *SKETCH)
+    skip = bit_filter(copies, "key")
+    context = texts.sparkSession.sparkContext
+    again = pick(found.select(*columns), ("key",), skip).join(copies.select("key"), "key", "left_anti")
+    own = found.select(*columns, spot("key")).mapInArrow(_roots(context.broadcast(skip)), NODES)
+    pairs, large = _split(own.unionByName(again.select(*columns, spot("key")).mapInArrow(_roots(context.broadcast(None)), NODES)))
+    candidates = [pairs]
     for depth in range(DEPTH):
         if large.isEmpty():
             break
-        rows = large.join(classes.select("key", "n", "mins", *SKETCH), "key")
-        pairs, large = _split(rows.select("node", "at", "key", "n", "mins", *SKETCH).mapInArrow(_children(depth), NODES))
-        found.append(pairs)
+        rows = large.join(found.select(*columns), "key")
+        pairs, large = _split(rows.select("node", "at", *columns).mapInArrow(_children(depth), NODES))
+        candidates.append(pairs)
     if not large.isEmpty():
         rest = large.select("key").distinct()
         picked = texts_of(texts, rest).join(rest, "key").mapInArrow(_sets, "key long, runs array<long>")
-        found.append(prefix_candidates(persist_table(picked, "rest")))
-    candidates = persist_table(reduce(DataFrame.unionByName, found).distinct(), "candidates")
-    wanted = candidates.select(F.col("a").alias("key")).unionAll(candidates.select("b"))
+        candidates.append(prefix_candidates(persist_table(picked, "rest")))
+    joined = persist_table(reduce(DataFrame.unionByName, candidates).distinct(), "candidates")
+    wanted = joined.select(F.col("a").alias("key")).unionAll(joined.select("b"))
     picked = persist_table(texts_of(texts, wanted), "texts")
     a = picked.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     b = picked.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    joined = candidates.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return persist_table(joined.mapInArrow(_verify, "a long, b long"), "pairs")
+    both = joined.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+    return persist_table(both.mapInArrow(_verify, "a long, b long"), "pairs")
 
 
 CLASS = ("c1", "c2", "sid", "n", "rec")
@@ -382,18 +386,11 @@ def near_duplicates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     the smallest id. copies: (key, cls) of every other row of a class.
     """
     found = persist_table(features(texts).withColumn("rec", F.pmod("key", F.lit(TABLES))), "features")
-    classes = persist_table(
-        found.groupBy(*CLASS).agg(
-            F.min("key").alias("key"),
-            F.first("mins").alias("mins"),
-            *(F.first(part).alias(part) for part in SKETCH),
-            F.count(F.lit(1)).alias("size"),
-        ),
-        "classes",
-    )
-    several = classes.where("size > 1").select(*CLASS, F.col("key").alias("cls"))
-    copies = found.select(*CLASS, "key").join(several, list(CLASS)).where("key <> cls").select("key", "cls")
-    return similar_classes(texts, classes), copies
+    classes = found.groupBy(*CLASS).agg(F.min("key").alias("cls"), F.count(F.lit(1)).alias("size"))
+    several = persist_table(classes.where("size > 1").drop("size"), "classes")
+    keys = pick(found.select(*CLASS, "key"), CLASS, bit_filter(several, *CLASS))
+    copies = persist_table(keys.join(several, list(CLASS)).where("key <> cls").select("key", "cls"), "copies")
+    return similar_classes(texts, found, copies), copies
 
 
 #: The tables of the problem: number in ``rec``, name, key column, text column.

@@ -1,6 +1,7 @@
 """p2: the chosen-path join against all pairs, with hot tokens, copies, nulls and forced recursion."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 
@@ -83,7 +84,7 @@ def test_recall_of_pairs_whose_tokens_are_all_hot():
     keys = pa.array(np.arange(2 * n) * neardup.TABLES)
     texts = pa.RecordBatch.from_arrays([keys, keys, keys, pa.array(pairs_at_the_threshold(n))], names=["key", "c1", "c2", "text"])
     rows = pa.Table.from_batches(neardup._features([texts])).combine_chunks().to_batches()[0]
-    nodes = next(neardup._roots([rows.select(["key", "n", "mins", *neardup.SKETCH])]))
+    nodes = next(neardup._roots(SimpleNamespace(value=None))([rows.select(["key", "n", "mins", *neardup.SKETCH])]))
 
     def missed():
         node, key = nodes["node"].to_numpy(), nodes["key"].to_numpy()
@@ -103,7 +104,7 @@ def test_splits_keep_the_target_recall():
     import numpy as np
 
     for splits in range(neardup.DEPTH + 1):
-        whole = neardup.miss(0.7, splits, neardup.CHILD_SPLITS) + neardup.sketch_miss(0.7, neardup.SKETCH_AGREE)
+        whole = neardup.miss(0.7, splits, neardup.CHILD_SPLITS) + neardup.sketch_miss(0.7, neardup.SKETCH_AGREE, neardup.POSITIONS)
         assert whole <= 1 - neardup.TARGET_RECALL
     runs = np.arange(neardup.ROOT_RUNS) // neardup.RUNS_PER_GROUP
     used = [set(neardup.split_positions(d)[runs == g].ravel()) for d in range(neardup.DEPTH) for g in range(neardup.GROUPS)]
