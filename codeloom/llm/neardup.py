@@ -51,7 +51,7 @@ ROOT_RUNS = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - SHARE / OF))
 DEPTH = 2
 RUNS_PER_GROUP = 2
 GROUPS = ROOT_RUNS // RUNS_PER_GROUP
-BRUTE_FORCE = 250
+BRUTE_FORCE = 600
 #: Parts that the rows of a hot node are spread over.
 SALTS = 1024
 #: A class or row is named by id * TABLES + rec.
