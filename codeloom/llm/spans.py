@@ -11,8 +11,8 @@ around the centres is compared character by character.
 
 Skew: equal fields are joined once, as a class, before anything else. A signature with more
 than PAIRWISE windows is not compared pair by pair: each of its pieces of ``length`` characters
-is hashed and grouped with map-side aggregation, which is linear in the rows and gathers no
-group anywhere.
+is hashed twice, to 128 bits together, and grouped with map-side aggregation, which is linear in
+the rows and gathers no group anywhere.
 
 Defined cases: null, empty and short fields share nothing; a stretch repeated within one
 record, or between the two solutions of one record, is not shared; repeated rows are records
@@ -185,34 +185,44 @@ def _salts(signs: np.ndarray, recs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """WINDOWS sorted by (sign, salt) to (sign, rec, field, centre) of shared signatures."""
-
-    def pick(table: pa.Table) -> pa.RecordBatch:
-        signs, salt = table.column("sign").to_numpy(), table.column("salt").to_numpy()
-        recs, centre = table.column("rec").to_numpy(), table.column("centre").to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]])) if len(signs) else np.empty(0, np.int64)
-        shared = np.zeros(0, bool)
-        if len(starts):
-            several = np.minimum.reduceat(recs, starts) != np.maximum.reduceat(recs, starts)
-            shared = np.repeat(several, np.diff(np.concatenate([starts, [len(signs)]])))
-        keep = (shared | (salt > 0)) & (centre >= 0)
-        out = table.filter(pa.array(keep)).select(["sign", "rec", "field", "centre"]).combine_chunks()
-        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in out.columns], names=out.column_names)
-
-    held: list[pa.RecordBatch] = []
+    """WINDOWS sorted by (sign, salt) to (sign, rec, field, centre) of shared signatures.
+
+    Rows are held only while their signature has shown one record, so what is held is bounded by
+    one record's windows, however many rows a signature has.
+    """
+
+    def out(batch: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
+        keep = keep & (batch.column(4).to_numpy() >= 0)
+        return batch.filter(pa.array(keep)).select(["sign", "rec", "field", "centre"])
+
+    held: list[pa.RecordBatch] = []  # rows of one signature and one record
+    passed: int | None = None  # a signature known to be shared
     for batch in batches:
         if not batch.num_rows:
             continue
-        signs = batch.column(0).to_numpy()
-        last = int(np.searchsorted(signs, signs[-1]))  # the last run may go on
-        if held and signs[0] == held[-1].column(0)[0].as_py() and last == 0:
-            held.append(batch)
-            continue
-        done = held + [batch.slice(0, last)]
-        held = [batch.slice(last)]
-        yield pick(pa.Table.from_batches(done))
-    if held:
-        yield pick(pa.Table.from_batches(held))
+        signs, recs = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]]))
+        low, high = np.minimum.reduceat(recs, starts), np.maximum.reduceat(recs, starts)
+        if held:
+            if held[0].column(0)[0].as_py() == signs[0]:
+                rec = held[0].column(2)[0].as_py()
+                low[0], high[0] = min(low[0], rec), max(high[0], rec)
+            if low[0] != high[0] or len(starts) > 1 or held[0].column(0)[0].as_py() != signs[0]:
+                shared = held[0].column(0)[0].as_py() == signs[0] and low[0] != high[0]
+                for part in held:
+                    yield out(part, np.full(part.num_rows, shared) | (part.column(1).to_numpy() > 0))
+                held = []
+        several = (low != high) | (signs[starts] == passed if passed is not None else False)
+        passed = int(signs[-1]) if several[-1] else None
+        keep = np.repeat(several, np.diff(np.concatenate([starts, [len(signs)]])))
+        end = len(signs)
+        if not several[-1]:  # the last run may go on
+            end = int(starts[-1])
+            held.append(batch.slice(end))
+        head = batch.slice(0, end)
+        yield out(head, keep[:end] | (head.column(1).to_numpy() > 0))
+    for part in held:
+        yield out(part, part.column(1).to_numpy() > 0)
 
 
 SHARED = "sign long, rec long, field int, centre int"
@@ -320,7 +330,7 @@ def _hash_pieces(length: int):
         for batch in batches:
             before, after = batch.column(7).to_pylist(), batch.column(8).to_pylist()
             chars, begins = code_points([x + y for x, y in zip(before, after, strict=True)])
-            hashes = gram_hashes(chars, length)
+            hashes, again = gram_hashes(chars, length), gram_hashes(chars ^ np.uint32(0x5BD1E995), length)
             sizes = np.diff(begins) - length + 1
             counts = np.maximum(sizes, 0)
             rows = np.repeat(np.arange(batch.num_rows), counts)
@@ -328,16 +338,16 @@ def _hash_pieces(length: int):
             start = batch.column(6).to_numpy() - np.array([len(x) for x in before], np.int64)
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[begins[:-1][rows] + offsets].view(np.int64))]
+                [pa.array(h[begins[:-1][rows] + offsets].view(np.int64)) for h in (hashes, again)]
                 + [batch.column(i).take(take) for i in (2, 3, 4, 5)]
                 + [pa.array((start[rows] + offsets).astype(np.int32))],
-                names=["piece", "rec", "field", "lo", "hi", "start"],
+                names=["piece", "piece_2", "rec", "field", "lo", "hi", "start"],
             )
 
     return run
 
 
-PIECES = "piece long, rec long, field int, lo long, hi long, start int"
+PIECES = "piece long, piece_2 long, rec long, field int, lo long, hi long, start int"
 
 
 def shared_spans(fields: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -402,8 +412,9 @@ def shared_spans(fields: DataFrame, length: int = LENGTH) -> DataFrame:
         .mapInArrow(_compare(length), SPANS)
     )
     pieces = cuts.where("many").mapInArrow(_hash_pieces(length), PIECES)
-    common = pieces.groupBy("piece").agg(F.min("lo").alias("low"), F.max("hi").alias("high")).where("low <> high")
-    often = pieces.join(common.select("piece"), "piece").select(
+    piece = ["piece", "piece_2"]
+    common = pieces.groupBy(*piece).agg(F.min("lo").alias("low"), F.max("hi").alias("high")).where("low <> high")
+    often = pieces.join(common.select(*piece), piece).select(
         "rec", "field", "start", (F.col("start") + length - 1).alias("stop")
     )
     found = few.unionByName(often).groupBy("rec", "field").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
@@ -446,6 +457,8 @@ def _code_fields(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFr
     scraped = table(spark, directory, "dataset_scraper").select(
         F.lit("dataset_scraper").alias("rec_table"),
         F.col("problem_id").alias("rec_id"),
+        # Even numbers for text ids (63 bits of a hash), odd ones for whole numbers, which stay exact.
+        F.shiftleft(F.xxhash64("problem_id"), 1).alias("rec"),
         F.explode(
             F.array(
                 F.struct(F.lit(0).alias("field"), F.col("naive_solution.code").alias("text")),
@@ -456,11 +469,12 @@ def _code_fields(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFr
     candidates = table(spark, directory, "optimization_candidate").select(
         F.lit("optimization_candidate").alias("rec_table"),
         F.col("candidate_id").cast("string").alias("rec_id"),
+        (F.shiftleft("candidate_id", 1) + 1).alias("rec"),
         F.lit(2).alias("field"),
         F.col("optimized_code").alias("text"),
     )
-    both = scraped.select("rec_table", "rec_id", "f.field", "f.text").unionByName(candidates)
-    both = both.where(F.length("text") >= LENGTH).withColumn("rec", F.xxhash64("rec_table", "rec_id"))
+    both = scraped.select("rec_table", "rec_id", "rec", "f.field", "f.text").unionByName(candidates)
+    both = both.where(F.length("text") >= LENGTH)
     return both.select("rec", "field", "text"), both.select("rec", "rec_table", "rec_id", "field")
 
 

@@ -68,3 +68,21 @@ def test_compact_windows_cover_every_piece():
 
 def test_empty(spark):
     assert spans.shared_spans(spark.createDataFrame([], "rec long, field int, text string")).count() == 0
+
+
+def test_shared_signatures_across_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(3)
+    for _ in range(100):
+        n = int(draw.integers(1, 30))
+        sign = np.sort(draw.integers(0, 6, n))
+        salt = np.where(draw.random(n) < 0.1, 1, 0)
+        rec, centre = draw.integers(0, 3, n), np.where(draw.random(n) < 0.1, -1, np.arange(n))
+        columns = [pa.array(sign), pa.array(salt, pa.int32()), pa.array(rec), pa.array(np.zeros(n), pa.int32()), pa.array(centre, pa.int32())]
+        batch = pa.RecordBatch.from_arrays(columns, names=["sign", "salt", "rec", "field", "centre"])
+        size = int(draw.integers(1, 6))
+        got = sorted(r["centre"] for b in spans._shared_only(batch.slice(i, size) for i in range(0, n, size)) for r in b.to_pylist())
+        shared = {s for s in set(sign.tolist()) if len(set(rec[sign == s].tolist())) > 1}
+        assert got == sorted(int(c) for s, t, c in zip(sign, salt, centre) if c >= 0 and (s in shared or t > 0))
