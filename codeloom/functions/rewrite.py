@@ -4,7 +4,11 @@ Rules: folding of constant arithmetic, comparisons and boolean operators; branch
 with a constant test; statements after return, raise, break or continue; assignments to local
 names that nothing reads and whose value has no effect; append loops as comprehensions;
 ``range(len(x))`` loops as direct loops where the index only reads ``x``, over ``enumerate`` where it
-is used otherwise too. Snippets are never run.
+is used otherwise too; doubly recursive Fibonacci as a loop; bubble sort as ``sort``; linear search as
+``index``; the ends of a sorted list as ``min`` and ``max``; strings gathered in a loop as ``join``;
+``list(map(lambda ...))`` and ``list(filter(lambda ...))`` as comprehensions; ``len(x)`` that is taken again and
+again of a parameter, once; ``a < b and a != b`` as ``a < b``; ``if c: return True`` before ``return False``
+as ``return c``; a name that only carries a value to the next return. Snippets are never run.
 
 A ``range(len(x))`` loop is left alone where the rewrite could change what it does: ``x`` is no plain
 name; the loop assigns or deletes ``x``, an item of it or the index, calls a method of ``x`` or lets
@@ -109,6 +113,29 @@ class Rewriter(ast.NodeTransformer):
         finally:
             self._scopes.pop()
 
+    def visit_Subscript(self, node: ast.Subscript) -> ast.AST:
+        """``sorted(x)[0]`` and ``sorted(x)[-1]``."""
+        self.generic_visit(node)
+        x = _length_of(node.value, "sorted")
+        end = {"0": "min", "-1": "max"}.get(ast.unparse(node.slice))
+        if x is None or end is None or not isinstance(node.ctx, ast.Load) or {"sorted", end} & _bound(self._scopes[0]):
+            return node
+        return self._put("sorted_end", node, ast.Call(ast.Name(end, ast.Load()), [x], []))
+
+    def visit_Call(self, node: ast.Call) -> ast.AST:
+        """``list(map(lambda v: e, x))`` and ``list(filter(lambda v: e, x))``."""
+        self.generic_visit(node)
+        inner = _length_of(node, "list")
+        if not (isinstance(inner, ast.Call) and isinstance(inner.func, ast.Name) and inner.func.id in ("map", "filter") and len(inner.args) == 2 and not inner.keywords):
+            return node
+        f, x = inner.args
+        a = f.args if isinstance(f, ast.Lambda) else None
+        if a is None or len(a.args) != 1 or a.posonlyargs or a.kwonlyargs or a.vararg or a.kwarg or a.defaults or {"list", "map", "filter"} & _bound(self._scopes[0]):
+            return node
+        v = a.args[0].arg
+        part = ast.comprehension(ast.Name(v, ast.Store()), x, [f.body] if inner.func.id == "filter" else [], 0)
+        return self._put("comprehension", node, ast.ListComp(ast.Name(v, ast.Load()) if part.ifs else f.body, [part]))
+
     def visit_For(self, node: ast.For) -> ast.AST:
         self.generic_visit(node)
         ends = _length_of(node.iter, "range")
@@ -185,6 +212,11 @@ class Rewriter(ast.NodeTransformer):
     def visit_BoolOp(self, node: ast.BoolOp) -> ast.AST:
         self.generic_visit(node)
         stop = isinstance(node.op, ast.Or)
+        if not stop and (kept := _without_implied(node.values)) is not None:
+            self.applied.append("implied_comparison")
+            if len(kept) == 1:
+                return ast.copy_location(kept[0], node)
+            node.values = kept
         kept: list[ast.expr] = []
         for i, value in enumerate(node.values):
             known = isinstance(value, ast.Constant)
@@ -221,7 +253,7 @@ class Rewriter(ast.NodeTransformer):
             if isinstance(block, list) and block and isinstance(block[0], ast.stmt):
                 block = self._block(block)
                 if field == "body":
-                    block = self._comprehensions(block)
+                    block = self._returns(self._comprehensions(block))
                 setattr(node, field, block)
         return node
 
@@ -237,7 +269,32 @@ class Rewriter(ast.NodeTransformer):
                 out.append(statement)
         return out
 
+    def _returns(self, body: list[ast.stmt]) -> list[ast.stmt]:
+        """``if c: return True`` then ``return False``, and a name set only to be returned."""
+        out: list[ast.stmt] = []
+        for statement in body:
+            before, new = (out[-1] if out else None), None
+            if isinstance(statement, ast.Return) and isinstance(before, ast.If) and isinstance(before.test, ast.Compare) and not before.orelse:
+                says = [x.value.value if isinstance(x, ast.Return) and isinstance(x.value, ast.Constant) else None for x in (*before.body, statement)]
+                if len(before.body) == 1 and says == [True, False] and all(type(x) is bool for x in says):
+                    rule, new = "boolean_return", ast.Return(before.test)
+            elif (
+                isinstance(statement, ast.Return) and isinstance(statement.value, ast.Name) and isinstance(before, ast.Assign)
+                and len(before.targets) == 1 and isinstance(before.targets[0], ast.Name) and before.targets[0].id == statement.value.id
+                and isinstance(self._scopes[-1], ast.FunctionDef) and len(_named(self._scopes[-1], statement.value.id)) == 2
+            ):
+                rule, new = "direct_return", ast.Return(before.value)
+            if new is not None:
+                self.applied.append(rule)
+                out[-1] = ast.copy_location(new, before)
+            else:
+                out.append(statement)
+        return out
+
     def visit_FunctionDef(self, node: ast.FunctionDef) -> ast.AST:
+        for rule, change in _WHOLE_FUNCTIONS:
+            if change(node):
+                self.applied.append(rule)
         self.generic_visit(node)
         read = {x.id for x in ast.walk(node) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load)}
         shared = {n for x in ast.walk(node) if isinstance(x, (ast.Global, ast.Nonlocal)) for n in x.names}
@@ -255,6 +312,145 @@ class Rewriter(ast.NodeTransformer):
         return node
 
 
+def _without_implied(values: list[ast.expr]) -> list[ast.expr] | None:
+    """The values of an ``and`` without ``a != b`` beside ``a < b`` or ``a > b``; None if there is none."""
+    sides = {
+        (ast.dump(v.left), ast.dump(v.comparators[0]))
+        for v in values
+        if isinstance(v, ast.Compare) and len(v.ops) == 1 and isinstance(v.ops[0], (ast.Lt, ast.Gt)) and _pure(v)
+    }
+
+    def implied(v: ast.expr) -> bool:
+        if not (isinstance(v, ast.Compare) and len(v.ops) == 1 and isinstance(v.ops[0], ast.NotEq)):
+            return False
+        a, b = ast.dump(v.left), ast.dump(v.comparators[0])
+        return (a, b) in sides or (b, a) in sides
+
+    kept = [v for v in values if not implied(v)]
+    return kept if len(kept) < len(values) else None
+
+
+def _same(node: ast.AST | None, *texts: str) -> bool:
+    return node is not None and ast.unparse(node) in texts
+
+
+def _statements(text: str) -> list[ast.stmt]:
+    """The statements of a text, which may return."""
+    return ast.parse("def _():\n" + "\n".join(f"    {line}" for line in text.split("\n"))).body[0].body
+
+
+def _fibonacci(f: ast.FunctionDef) -> bool:
+    """A base case that gives n below 2 and then f(n - 1) + f(n - 2), in this order or the other."""
+    a = f.args
+    if len(a.args) != 1 or a.posonlyargs or a.kwonlyargs or a.vararg or a.kwarg or f.decorator_list:
+        return False
+    n, skip = a.args[0].arg, 1 if ast.get_docstring(f) is not None else 0
+    body = f.body[skip:]
+    if len(body) == 1 and isinstance(body[0], ast.If) and len(body[0].orelse) == 1:
+        body = [ast.If(body[0].test, body[0].body, []), body[0].orelse[0]]
+    if len(body) != 2 or not isinstance(body[0], ast.If) or body[0].orelse or not isinstance(body[1], ast.Return):
+        return False
+    base = _same(body[0].test, f"{n} <= 1", f"{n} < 2") and len(body[0].body) == 1 and _same(body[0].body[0], f"return {n}")
+    one, two = f"{f.name}({n} - 1)", f"{f.name}({n} - 2)"
+    if not base or not _same(body[1].value, f"{one} + {two}", f"{two} + {one}") or n in ("a", "b"):
+        return False
+    f.body = f.body[:skip] + [body[0]] + _statements(f"a, b = 0, 1\nfor _ in range({n} - 1):\n    a, b = b, a + b\nreturn b")
+    return True
+
+
+def _bubble_sort(f: ast.FunctionDef) -> bool:
+    """Full passes of adjacent swaps over a parameter; the counters must not be used elsewhere."""
+    lengths = {s.targets[0].id: s.value.args[0].id for s in f.body if isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name) and isinstance(_length_of(s.value), ast.Name)}
+    for at, outer in enumerate(f.body):
+        inner = outer.body[0] if isinstance(outer, ast.For) and len(outer.body) == 1 and not outer.orelse else None
+        swap = inner.body[0] if isinstance(inner, ast.For) and len(inner.body) == 1 and not inner.orelse else None
+        if not (isinstance(swap, ast.If) and isinstance(outer.target, ast.Name) and isinstance(inner.target, ast.Name) and len(swap.body) == 1 and not swap.orelse):
+            continue
+        i, j = outer.target.id, inner.target.id
+        for x in {a.arg for a in f.args.args}:
+            this, following = f"{x}[{j}]", f"{x}[{j} + 1]"
+            if not _same(swap.test, f"{this} > {following}", f"{following} < {this}"):
+                continue
+            if not _same(swap.body[0], f"{this}, {following} = ({following}, {this})", f"{following}, {this} = ({this}, {following})"):
+                continue
+            for n in (f"len({x})", *(k for k, v in lengths.items() if v == x)):
+                passes = f"range({n})", f"range({n} - 1)"
+                steps = [f"{start}{n} - {less}" for start in ("", "0, ") for less in (f"{i} - 1", f"1 - {i}", "1")]
+                if _same(outer.iter, *passes) and _same(inner.iter, *(f"range({s})" for s in steps)):
+                    used = {id(y) for y in ast.walk(outer)}
+                    if not any(isinstance(y, ast.Name) and y.id in (i, j) and id(y) not in used for y in ast.walk(f)):
+                        f.body[at] = _statements(f"{x}.sort()")[0]
+                        return True
+    return False
+
+
+def _linear_search(f: ast.FunctionDef) -> bool:
+    """A loop that returns the first index whose item equals a value, and -1 behind it."""
+    for at in range(len(f.body) - 1):
+        loop, last = f.body[at : at + 2]
+        test = loop.body[0] if isinstance(loop, ast.For) and len(loop.body) == 1 and not loop.orelse else None
+        if not (isinstance(test, ast.If) and not test.orelse and len(test.body) == 1 and isinstance(loop.target, ast.Name) and _same(last, "return -1")):
+            continue
+        i, ends = loop.target.id, _length_of(loop.iter, "range")
+        x = _length_of(ends) if ends is not None else None
+        if isinstance(x, ast.Name) and isinstance(test.test, ast.Compare) and _same(test.body[0], f"return {i}"):
+            item, sides = f"{x.id}[{i}]", [test.test.left, *test.test.comparators]
+            other = [s for s in sides if not _same(s, item)]
+            if len(sides) == 2 and len(other) == 1 and isinstance(test.test.ops[0], ast.Eq) and isinstance(other[0], (ast.Name, ast.Constant)) and not _same(other[0], i):
+                v = ast.unparse(other[0])
+                f.body[at : at + 2] = _statements(f"return {x.id}.index({v}) if {v} in {x.id} else -1")
+                return True
+    return False
+
+
+def _joined_text(f: ast.FunctionDef) -> bool:
+    """``s = ''`` directly before a loop that only adds to it."""
+    for at in range(len(f.body) - 1):
+        first, loop = f.body[at : at + 2]
+        if not (isinstance(first, ast.Assign) and len(first.targets) == 1 and isinstance(first.targets[0], ast.Name) and _same(first.value, "''")):
+            continue
+        add = loop.body[0] if isinstance(loop, ast.For) and len(loop.body) == 1 and not loop.orelse else None
+        s = first.targets[0].id
+        if isinstance(add, ast.AugAssign) and isinstance(add.op, ast.Add) and _same(add.target, s) and not any(_named(part, s) for part in (add.value, loop.iter)):
+            made = ast.GeneratorExp(add.value, [ast.comprehension(loop.target, loop.iter, [], 0)])
+            first.value = ast.Call(ast.Attribute(ast.Constant(""), "join", ast.Load()), [made], [])
+            del f.body[at + 1]
+            return True
+    return False
+
+
+def _length_once(f: ast.FunctionDef) -> bool:
+    """``len(x)`` of a parameter that nothing rebinds, changes or hands on, taken at least three times."""
+    skip = 1 if ast.get_docstring(f) is not None else 0
+    if "len" in _bound(f) or any(isinstance(n, _SCOPES[1:] + _PAUSES) for n in ast.walk(f) if n is not f):
+        return False
+    for x in (a.arg for a in f.args.args):
+        calls = [n for n in ast.walk(f) if isinstance(_length_of(n), ast.Name) and _length_of(n).id == x]
+        quiet = {id(_length_of(n)) for n in calls} | {id(n.value) for n in ast.walk(f) if isinstance(n, ast.Subscript) and isinstance(n.ctx, ast.Load)}
+        # The first statement that runs takes the length anyway, so nothing fails earlier than it would.
+        sure = len(f.body) > skip and any(c in list(ast.walk(f.body[skip].iter if isinstance(f.body[skip], ast.For) else f.body[skip].value)) for c in calls) if len(f.body) > skip and isinstance(f.body[skip], (ast.For, ast.Assign)) else False
+        name = f"len_{x}"
+        if len(calls) < 3 or not sure or name in _bound(f) or any(id(n) not in quiet for n in _named(f, x)):
+            continue
+        for call in calls:
+            call.func, call.args = ast.Name("_once", ast.Load()), []
+
+        class Put(ast.NodeTransformer):
+            def visit_Call(self, node: ast.Call) -> ast.AST:
+                self.generic_visit(node)
+                return ast.Name(name, ast.Load()) if isinstance(node.func, ast.Name) and node.func.id == "_once" else node  # noqa: B023
+
+        f.body = f.body[:skip] + _statements(f"{name} = len({x})") + [Put().visit(s) for s in f.body[skip:]]
+        return True
+    return False
+
+
+_WHOLE_FUNCTIONS = (
+    ("iterative_fibonacci", _fibonacci), ("bubble_sort", _bubble_sort), ("linear_search", _linear_search), ("joined_text", _joined_text),
+    ("length_once", _length_once),
+)
+
+
 def _as_comprehension(first: ast.stmt, loop: ast.stmt) -> ast.stmt | None:
     if not (isinstance(first, ast.Assign) and len(first.targets) == 1 and isinstance(first.targets[0], ast.Name)):
         return None

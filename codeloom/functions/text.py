@@ -189,3 +189,161 @@ def text_complexity(code: Column) -> Column:
         ],
         "O(1)",
     )
+
+
+def split_lines(code: Column) -> Column:
+    """Lines as a reader splits them: any line end counts, the last one opens no new line, empty text has none."""
+    plain = F.regexp_replace(code, "\r\n|[\r\x0b\x0c]", "\n")
+    return F.when(F.length(plain) == 0, 0).otherwise(line_count(plain) - plain.endswith("\n").cast("int")).cast("long")
+
+
+# Method names that count as operations of a data structure.
+METHODS = {
+    "list_operations": "append|extend|insert|remove|pop|sort|reverse",
+    "dict_operations": "keys|values|items|get|pop|update",
+    "set_operations": "add|remove|discard|union|intersection",
+    "string_operations": "split|join|replace|strip|lower|upper",
+}
+# Words that speak for a complexity class.
+CLASS_WORDS = {
+    "o_1": ("return", "print", "=", "+", "-", "*", "/", "%"), "o_log_n": ("binary", "divide", "half", "//2", "/2"),
+    "o_n": ("for", "while", "sum", "max", "min", "len"), "o_n_log_n": ("sort", "merge", "heap"), "o_n2": ("nested", "double", "bubble"),
+    "o_2_n": ("recursive", "fibonacci", "exponential"),
+}
+
+
+def operation_counts(code: Column) -> dict[str, Column]:
+    return {name: F.regexp_count(code, F.lit(rf"\.({words})")).cast("long") for name, words in METHODS.items()}
+
+
+def class_words(code: Column) -> dict[str, Column]:
+    """Words per complexity class, and the flags of four named patterns."""
+    low = F.lower(code)
+    counts = {name: reduce(Column.__add__, [occurrences(low, w) for w in words]) for name, words in CLASS_WORDS.items()}
+    flags = {
+        "fibonacci_pattern": low.contains("fibonacci") & code.contains("fibonacci(n-1)"),
+        "factorial_pattern": low.contains("factorial") & code.contains("factorial(n-1)"),
+        "binary_search_pattern": low.contains("binary") & code.contains("left") & code.contains("right"),
+        "sorting_pattern": contains_any(low, "sort", "bubble", "merge", "quick") == 1,
+    }
+    return counts | {name: c.cast("int") for name, c in flags.items()}
+
+
+def code_patterns(code: Column) -> dict[str, Column]:
+    """Eight named patterns of the text, as booleans."""
+    low = F.lower(code)
+    return {
+        "nested_loops_detected": occurrences(code, "for") >= 2,
+        "equality_comparisons": code.contains("=="),
+        "sum_operations": code.contains("+") | code.contains("sum("),
+        "max_min_operations": code.contains("max(") | code.contains("min("),
+        "list_operations": code.contains("append(") | code.contains(".extend("),
+        "return_in_loop": code.contains("return") & code.contains("for"),
+        "target_variable": code.contains("target"),
+        "duplicate_keywords": low.contains("dup"),
+    }
+
+
+def comment_count(code: Column) -> Column:
+    return occurrences(code, "#") + occurrences(code, '"""') + occurrences(code, "'''")
+
+
+# Constant expressions that the plain folder replaces in the text.
+FOLDS = (("2 * 3", "6"), ("10 / 2", "5.0"), ("2 ** 8", "256"), ("15 % 4", "3"), ("5 + 3", "8"), ("100 / 4", "25.0"), ("3 ** 3", "27"))
+
+
+def folded_text(code: Column) -> Column:
+    return reduce(lambda text, fold: F.replace(text, F.lit(fold[0]), F.lit(fold[1])), FOLDS, code)
+
+
+def folds_applied(code: Column) -> Column:
+    return F.concat_ws(",", *[F.when(code.contains(a), a) for a, _ in FOLDS])
+
+
+def looks_like(code: Column) -> Column:
+    """python, javascript or unknown, by what the text holds."""
+    javascript = contains_any(code, "function", "const ", "let ", ";") == 1
+    python = code.contains("def ") | code.contains("import ") | ~code.contains(";")
+    return F.when(python, "python").when(javascript, "javascript").otherwise("unknown")
+
+
+def modern_javascript(code: Column) -> Column:
+    """``var`` assignments as ``const`` and counted loops over a whole array as for-of loops."""
+    const = F.regexp_replace(code, r"var\s+([a-zA-Z0-9_]+)\s*=", "const $1 =")
+    return F.regexp_replace(const, r"for\s*\(\s*let\s+i\s*=\s*0\s*;\s*i\s*<\s*(\w+)\.length\s*;\s*i\s*\+\+\s*\)\s*\{", "for (const item of $1) {")
+
+
+def tidy_javascript(code: Column) -> Column:
+    """Without line comments and console output, one statement a line."""
+    steps = ((r"(?m)//.*$", ""), (r"console\.log\(.*?\);", ""), (r"\s+", " "), (r"\{\s+", "{"), (r"\s+\}", "}"), (";", ";\n"), (r"\{", "{\n"), (r"\}", "\n}"))
+    return reduce(lambda text, step: F.regexp_replace(text, *step), steps, code)
+
+
+def enumerated_loops(code: Column) -> Column:
+    """``for i in range(len(x)):`` as ``for i, item in enumerate(x):`` by text alone."""
+    return F.regexp_replace(code, r"for\s+(\w+)\s+in\s+range\(len\((\w+)\)\):", "for $1, item in enumerate($2):")
+
+
+def improvement_score(before: Column, after: Column) -> Column:
+    return (
+        F.when(before.contains("n²") & after.contains("n log n"), 80)
+        .when(before.contains("n²") & after.contains("n"), 90)
+        .when(before.contains("n") & after.contains("log"), 85)
+        .otherwise(50)
+    )
+
+
+def severity(complexity: Column) -> Column:
+    """good, medium, poor, very poor or other: the first test that holds, so n log n falls to log."""
+    rules = [(("1)", "log"), "good"), (("n log n",), "medium"), (("n²", "n^2"), "poor"), (("2^n", "n!"), "very poor")]
+    return ladder([(contains_any(complexity, *words) == 1, name) for words, name in rules], "other")
+
+
+def text_heuristics(code: Column, improved: Column, result: Column) -> tuple[Column, Column]:
+    """Complexity before and after by words of the text, ``improved`` where anything was rewritten."""
+    fib = code.contains("fibonacci") & code.contains("return fibonacci(n-1) + fibonacci(n-2)")
+    sort = code.contains("sort") & (contains_any(code, "bubble", "selection") == 1)
+    search = code.contains("search") & code.contains("for") & code.contains("range")
+    before = F.when(fib, "O(2^n)").when(sort, "O(n²)").otherwise("O(n)")
+    after = F.when(fib, "O(n)").when(sort & improved, "O(n log n)").when(~sort & search & improved & result.contains("binary"), "O(log n)").otherwise("O(n)")
+    return before, after
+
+
+def first_rule(code: Column) -> Column:
+    """The first of four text conditions for a known speed-up, null if none holds."""
+    both = code.contains("for i in range") & code.contains("for j in range")
+    return (
+        F.when(both & code.contains("total +=") & (code.contains("range(i)") | code.contains("range(n)")), "Mathematical formula")
+        .when(both & (code.contains("arr[i] == arr[j]") | code.contains("nums[i] == nums[j]")), "Hash set for O(1) lookup")
+        .when(both & (code.contains("target") | code.contains("sum")) & code.contains("+"), "Hash map for complement lookup")
+        .when(both & code.contains("sum"), "Kadane's algorithm")
+    )
+
+
+def generation_route(code: Column, technique: Column) -> Column:
+    """Which generator a snippet goes to, by words of the text, of the function's name, then the technique."""
+    name = F.regexp_extract(code, r"def ([A-Za-z0-9_]+)\((.*?)\):", 1)
+    low, low_name = F.lower(code), F.lower(name)
+    return (
+        F.when(name == "", "unchanged")
+        .when(low.contains("pairs") | low_name.contains("sum"), "pairs_sum")
+        .when(low.contains("duplicate") | low_name.contains("duplicate"), "duplicate")
+        .when(low.contains("max") & low_name.contains("subarray"), "max_subarray")
+        .when(technique.isin("hash_map", "hash_set"), technique)
+        .otherwise("generic")
+    )
+
+
+# Regular expressions that recognize whole algorithms; a back reference ties names together.
+ALGORITHMS = (
+    ("bubble_sort", r"def\s+(?:\w*sort\w*|\w*bubble\w*)\s*\([^)]*\):.*?for\s+\w+\s+in\s+range.*?for\s+\w+\s+in\s+range.*?if\s+(\w+)\s*\[\s*\w+\s*\]\s*>\s*\1\s*\[\s*\w+(?:\s*\+\s*\d+)?\s*\]"),
+    ("selection_sort", r"def\s+\w*sort\w*\s*\(.*?\):.*?for\s+\w+\s+in\s+range\(.*?\):.*?(?:min_idx|min_pos|min_i|min_element|smallest)\s*=\s*\w+.*?for\s+\w+\s+in\s+range\(.*?\):"),
+    ("linear_search", r"def\s+(\w*(?:search|find)\w*)\s*\([^)]*\):.*?for\s+\w+\s+in\s+range.*?if\s+\w+\s*\[\s*\w+\s*\]\s*=="),
+    ("recursive_fibonacci", r"def\s+(\w*(?:fibonacci|fib|fibo)\w*)\s*\(\s*(\w+)\s*\):.*?if\s+\2\s*(?:<=|<|==|>|>=)\s*\d+.*?return.*?return\s+\1\s*\(\s*\2\s*-\s*1\s*\)\s*\+\s*\1\s*\(\s*\2\s*-\s*2\s*\)"),
+    ("list_building", r"(\w+)\s*=\s*\[\]\s*.*?for\s+(\w+)\s+in\s+([^:]+):.*?\1\.append\(([^)]+)\)"),
+)
+
+
+def recognized_algorithm(code: Column) -> Column:
+    """The first whole algorithm that the text shows, null if none; line ends count as any character."""
+    return ladder([(code.rlike("(?s)" + pattern), name) for name, pattern in ALGORITHMS], None)

@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.plans import advanced_queries, algorithm_queries, dataset_queries, feedback_queries, syntax_queries, text_queries
+from codeloom.plans import (
+    advanced_queries,
+    algorithm_queries,
+    dataset_queries,
+    feedback_queries,
+    golden_queries,
+    syntax_queries,
+    text_queries,
+    text_rule_queries,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-MODULES = (feedback_queries, dataset_queries, text_queries, algorithm_queries, syntax_queries, advanced_queries)
+MODULES = (feedback_queries, dataset_queries, text_queries, text_rule_queries, algorithm_queries, syntax_queries, golden_queries, advanced_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions import rewrite, syntax
+from codeloom.functions import rewrite, syntax, text
 from codeloom.sources.tables import table
 
 
@@ -15,33 +15,53 @@ def _codes(spark: SparkSession, d: str) -> DataFrame:
 
 def syntax_features(spark: SparkSession, d: str) -> DataFrame:
     """Mean syntax features per predicted technique."""
-    rows = table(spark, d, "feedback").select("id", "predicted_technique", "original_code")
-    found = syntax.features(rows, "id", "original_code").join(rows.select("id", "predicted_technique"), "id")
+    found = syntax.features(table(spark, d, "feedback"), "id", "original_code", ("predicted_technique",))
     return found.groupBy("predicted_technique").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("n_valid"), *[F.round(F.avg(n), 4).alias(n) for n in syntax.NUMBERS]
     )
 
 
+def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The 30 features of the technique classifier and its confidence, per feedback row."""
+    found = syntax.features(table(spark, d, "feedback"), "id", "original_code", ("original_code", "predicted_technique"))
+    own = syntax.features30(F.col("original_code"))
+    return found.where("original_code IS NOT NULL").select("id", "predicted_technique", F.array(*own.values()).alias("features"))
+
+
 def complexity_estimators(spark: SparkSession, d: str) -> DataFrame:
     """Rows per combination of the estimators, which disagree on purpose."""
-    rows = _codes(spark, d)
-    found = syntax.features(rows, "result_id", "original_code").join(rows.select("result_id", "original_code"), "result_id")
+    found = syntax.features(_codes(spark, d), "result_id", "original_code", ("original_code",))
     named = syntax.complexities(F.col("original_code"))
     return found.groupBy(*[c.alias(n) for n, c in named.items()]).agg(F.count(F.lit(1)).alias("n"))
 
 
 def structural_patterns(spark: SparkSession, d: str) -> DataFrame:
-    rows = _codes(spark, d)
-    found = syntax.features(rows, "result_id", "original_code").join(rows.select("result_id", "original_code"), "result_id")
-    return found.groupBy(syntax.pattern(F.col("original_code")).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+    code = F.col("original_code")
+    found = syntax.features(_codes(spark, d), "result_id", "original_code", ("original_code",))
+    return found.groupBy(syntax.pattern(code).alias("pattern"), syntax.algorithm_pattern(code, text.algorithm_type(code)).alias("algorithm")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
 
 
 def valid_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Result rows of which both codes parse."""
-    rows = _codes(spark, d)
-    a = syntax.features(rows, "result_id", "original_code").select("result_id", F.col("valid").alias("original_valid"))
-    b = syntax.features(rows, "result_id", "optimized_code").select("result_id", F.col("valid").alias("optimized_valid"))
-    return a.join(b, "result_id").groupBy("original_valid", "optimized_valid").agg(F.count(F.lit(1)).alias("n"))
+    """Result rows by whether either code parses."""
+    a = syntax.validity(_codes(spark, d), "result_id", "original_code", "original_valid", ("optimized_code",))
+    b = syntax.validity(a, "result_id", "optimized_code", "optimized_valid", ("original_valid",))
+    return b.groupBy("original_valid", "optimized_valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_features(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.tokens(_codes(spark, d), "result_id", "optimized_code")
+
+
+def token_types(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.token_counts(_codes(spark, d), "result_id", "optimized_code").groupBy("type").agg(F.sum("n").alias("n"))
+
+
+def symbols_used(spark: SparkSession, d: str) -> DataFrame:
+    """Names read and constants over all snippets, and in how many each stands."""
+    found = syntax.symbols_used(_codes(spark, d), "result_id", "optimized_code")
+    return found.groupBy("kind", "value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def functions_defined(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +88,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         syntax_features, complexity_estimators, structural_patterns, valid_pairs, functions_defined, security_issues, node_types, rewrites_applied,
+        feature_vectors, token_features, token_types, symbols_used,
     )
 }
 ORACLES: dict[str, str] = {}
