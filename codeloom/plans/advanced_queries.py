@@ -63,7 +63,8 @@ def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
 
 def synthetic_folding(spark: SparkSession, d: str) -> DataFrame:
     """As many rows as the generator table has."""
-    return synthetic.folding_examples(spark, table(spark, d, "simple_dataset_generator").count())
+    rows = synthetic.folding_examples(spark, table(spark, d, "simple_dataset_generator").count())
+    return rows.withColumn("rule", F.array_join("applied_rules", ",")).drop("applied_rules")
 
 
 QUERIES = {
@@ -95,7 +96,11 @@ ORACLES = {
         FROM events GROUP BY 1, 2 HAVING count(*) > 1""",
     "synthetic_folding": f"""
         WITH r AS (SELECT unnest(range((SELECT count(*) FROM simple_dataset_generator))) AS id),
-             d AS (SELECT id, {_draw('a', 1, 20)} AS a, {_draw('b', 1, 10)} AS b, {_draw('op', 0, 3)} AS op FROM r)
-        SELECT id, 'x = ' || a || ' ' || ['+', '-', '*', '%'][op + 1] || ' ' || b AS original_code,
-               'x = ' || CASE op WHEN 0 THEN a + b WHEN 1 THEN a - b WHEN 2 THEN a * b ELSE a % b END AS optimized_code FROM d""",
+             d AS (SELECT id, {_draw('a', 1, 20)} AS a, {_draw('b', 1, 10)} AS b, {_draw('op', 0, 5)} AS op FROM r),
+             e AS (SELECT id, a || ' ' || ['+', '-', '*', '//', '**', '%'][op + 1] || ' ' || b AS term,
+                          CASE op WHEN 0 THEN a + b WHEN 1 THEN a - b WHEN 2 THEN a * b WHEN 3 THEN a // b
+                               WHEN 4 THEN CASE WHEN b < 10 THEN pow(a::HUGEINT, b)::BIGINT ELSE a END ELSE a % b END AS v FROM d)
+        SELECT id, 'def calculate():' || chr(10) || '    x = ' || term || chr(10) || '    return x' AS original_code,
+               'def calculate():' || chr(10) || '    x = ' || v || chr(10) || '    return x' AS optimized_code, 'O(1)' AS complexity_before, 'O(1)' AS complexity_after,
+               'Folded constant expression ' || term || ' to ' || v AS explanation, 'constant_folding' AS rule, 'constant_folding' AS category FROM e""",
 }

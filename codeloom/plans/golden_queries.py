@@ -183,13 +183,15 @@ QUERIES = {
 }
 
 
-def values(names: list[str], rows: list[tuple]) -> str:
-    """SQL of a table that lists ``rows``."""
+def values(names: list[str], rows: list[tuple], **kinds: str) -> str:
+    """SQL of a table that lists ``rows``; ``kinds`` gives a column another type."""
 
     def shown(v: object) -> str:
         return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
-    return "SELECT id::BIGINT AS id, * EXCLUDE (id) FROM (VALUES " + ", ".join("(" + ", ".join(map(shown, row)) + ")" for row in rows) + f") AS t({', '.join(names)})"
+    kinds = {"id": "BIGINT"} | kinds
+    columns = ", ".join(f"{n}::{kinds[n]} AS {n}" if n in kinds else n for n in names)
+    return f"SELECT {columns} FROM (VALUES " + ", ".join("(" + ", ".join(map(shown, row)) + ")" for row in rows) + f") AS t({', '.join(names)})"
 
 
 # Hand-counted results.

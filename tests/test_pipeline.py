@@ -30,13 +30,15 @@ def test_examples_round_trip(spark, tmp_path):
     for suffix in ("csv", "json"):
         path = str(tmp_path / f"set.{suffix}")
         files.write_examples(df, path)
-        if suffix == "json":
-            back = spark.read.schema(files.EXAMPLE).json(path).withColumn("category", F.coalesce("category", F.lit("general")))
-        else:
-            back = files.read_examples(spark, path)
+        back = files.read_examples(spark, path)
+        assert back.count() == 2
         assert {r.original_code: (r.applied_rules, r.category) for r in back.collect()} == {rows[0][0]: (["r1", "r2"], "general"), "y": (None, "loops")}
+    (tmp_path / "array.json").write_text('\n [{"original_code": "a"}, {"original_code": "b", "category": "c"}]')
+    assert {(r.original_code, r.category) for r in files.read_examples(spark, str(tmp_path / "array.json")).collect()} == {("a", "general"), ("b", "c")}
     with pytest.raises(ValueError):
         files.read_examples(spark, "x.xml")
+    with pytest.raises(FileNotFoundError):
+        files.read_examples(spark, str(tmp_path / "none.json"))
 
 
 def test_envelope(spark, tmp_path):
@@ -93,4 +95,24 @@ def test_synthetic(spark):
     rows = synthetic.folding_examples(spark, 50).collect()
     assert len(rows) == 50 and synthetic.mixture_counts(1000) == {"algorithm": 400, "folding": 300, "loop": 200, "complexity": 6}
     for r in rows:
-        assert eval(r.original_code[4:]) == int(r.optimized_code[4:])  # noqa: S307 - made above
+        term, value = r.original_code.split("x = ")[1].split("\n")[0], r.optimized_code.split("x = ")[1].split("\n")[0]
+        made = int(term.split()[0]) if term.endswith("** 10") else eval(term)  # noqa: S307 - made above
+        assert made == int(value) and r.applied_rules == ["constant_folding"]
+    mixed = synthetic.mixed_examples(spark, 100)
+    assert mixed.count() == 96 and mixed.where("original_code IS NULL").count() == 0
+
+
+def test_files(spark, tmp_path):
+    assert files.read_config(str(tmp_path / "none.json"), {"a": 1}) == {"a": 1}
+    (tmp_path / "c.json").write_text('{"a": 2, "z": 3}')
+    assert files.read_config(str(tmp_path / "c.json"), {"a": 1}) == {"a": 2}
+    df = spark.createDataFrame([(1, "x"), (2, None)], "id long, name string")
+    files.write_results(df, str(tmp_path / "r.txt"))
+    assert {r.value for r in spark.read.text(str(tmp_path / "r.txt")).where("value <> ''").collect()} == {"id: 1", "name: x", "id: 2", "name: "}
+    for _ in range(2):
+        files.append_history(df, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 4
+    assert files.read_dataset(spark, str(tmp_path / "no"), files.EXAMPLE, [("a",) + (None,) * 6]).count() == 1
+    pairs = spark.createDataFrame([("a", "b"), ("c", None)], "x string, y string")
+    files.write_csv(pairs, str(tmp_path / "p.csv"))
+    assert files.read_pairs_csv(spark, str(tmp_path / "p.csv"), "x", "y").count() == 1
