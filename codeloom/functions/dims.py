@@ -47,3 +47,19 @@ def improvement_percent(before: Column, after: Column, changed: Column) -> Colum
 
 def runtime_estimate(complexity: Column, length: Column) -> Column:
     return F.lit(1e-6) * lookup(complexity, RUNTIME_MULTIPLIER, 100) * length / 100
+
+
+# Description, complexity, data structure and use of a technique's template; others have none.
+TEMPLATES = {
+    "hash_map": ("Hash Map Optimization", "O(n)", "Dictionary/HashMap", "Two sum, complement search, key-value mapping"),
+    "hash_set": ("Hash Set Optimization", "O(n)", "Set/HashSet", "Duplicate detection, membership testing"),
+    "dynamic_programming": ("Dynamic Programming", "O(n)", "Array/Variables", "Optimal substructure, overlapping subproblems"),
+    "two_pointers": ("Two Pointers Technique", "O(n) or O(n log n)", "Sorted Array", "Sorted array problems, pair finding"),
+    "sliding_window": ("Sliding Window", "O(n)", "Window/Deque", "Subarray problems, range queries"),
+    "frequency_map": ("Frequency Counter", "O(n)", "Dictionary", "Counting, frequency analysis"),
+}
+
+
+def theoretical_gains(factor: Column) -> Column:
+    """What a speed-up factor is said to give for 100, 1,000 and 10,000 elements; null without a gain."""
+    return F.when(factor > 1, F.concat_ws("; ", *[F.concat((factor * n).cast("string"), F.lit(f"x faster for {n:,} elements")) for n in (100, 1000, 10000)]))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def unite(frames: list[DataFrame]) -> DataFrame:
@@ -50,10 +51,49 @@ def hash_split(df: DataFrame, key: str, shares: dict[str, int]) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float) -> DataFrame:
-    """``split`` test for the first share of every label's rows by md5 of the key."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    place = (F.row_number().over(order) - 1) / F.count(F.lit(1)).over(Window.partitionBy(label))
-    return df.withColumn("split", F.when(place < test_share, "test").otherwise("train"))
+    """``split`` test for the first share of every label's rows by md5 of the key, exact to the row.
+
+    Rows are counted per label and leading byte of the hash with map-side combine; running totals
+    over those 256 counts give every row its place but for the byte in which the cut falls. Only the
+    rows of that byte, one in 256, are ordered, per label.
+    """
+    mark = F.md5(F.col(key).cast("string"))
+    own = df.withColumn("_mark", mark).withColumn("_byte", F.substring("_mark", 1, 2))
+    counts = own.groupBy(label, "_byte").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(label).orderBy("_byte")
+    cuts = counts.select(
+        label,
+        "_byte",
+        (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
+        (F.sum("_n").over(upto)).alias("_upto"),
+        F.sum("_n").over(Window.partitionBy(label)).alias("_all"),
+    )
+    told = own.join(cuts, [label, "_byte"])  # cuts has at most 256 rows a label
+    whole = told.where((F.col("_upto") - 1) / F.col("_all") < test_share).withColumn("split", F.lit("test"))
+    none = told.where((F.col("_before") / F.col("_all") >= test_share)).withColumn("split", F.lit("train"))
+    edge = told.where(((F.col("_upto") - 1) / F.col("_all") >= test_share) & (F.col("_before") / F.col("_all") < test_share))
+    place = (F.row_number().over(Window.partitionBy(label).orderBy("_mark", key)) - 1 + F.col("_before")) / F.col("_all")
+    edge = edge.withColumn("split", F.when(place < test_share, "test").otherwise("train"))
+    return whole.unionByName(none).unionByName(edge).drop("_mark", "_byte", "_before", "_upto", "_all")
+
+
+def exact_split(df: DataFrame, key: str, shares: dict[str, float]) -> DataFrame:
+    """``split`` with the exact sizes int(share * n), the rest in the last one, by md5 of the key.
+
+    ValueError unless the shares add up to 1 within 1e-6. The cuts are found as in stratified_split.
+    """
+    if abs(sum(shares.values()) - 1) > 1e-6:
+        raise ValueError("shares must add up to 1")
+    n = df.count()
+    out, left, names = [], df.withColumn("_one", F.lit(1)), list(shares)
+    taken = 0
+    for name in names[:-1]:
+        size, rest = int(shares[name] * n), n - taken
+        cut = stratified_split(left, key, "_one", (size - 0.5) / rest if rest and size else 0.0)
+        out.append(cut.where("split = 'test'").withColumn("split", F.lit(name)))
+        left, taken = cut.where("split = 'train'").drop("split"), taken + size
+    out.append(left.withColumn("split", F.lit(names[-1])))
+    return unite(out).drop("_one")
 
 
 def augment(df: DataFrame, code: str, factor: int) -> DataFrame:
@@ -110,6 +150,37 @@ def welch_t(df: DataFrame, flag: Column, value: str) -> DataFrame:
     return sides.select("n1", "n2", F.round(F.abs(F.col("m1") - F.col("m2")) / spread, 4).alias("t"))
 
 
-def deep_equal(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
-    """Equal numbers up to a tolerance; two nulls are equal, one null is not."""
-    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.abs(a - b) < tolerance)
+def bucketed_p(t: Column) -> Column:
+    """The coarse p value of a t statistic."""
+    return F.when(t > 2.0, 0.05).when(t > 1.5, 0.1).when(t.isNotNull(), 0.5).otherwise(1.0)
+
+
+def improvement(before: Column, after: Column) -> Column:
+    """Per cent by which ``after`` is lower; 0 without a positive ``before``."""
+    return F.when(before > 0, (before - after) / before * 100).otherwise(0.0)
+
+
+def deep_equal(a: Column, b: Column, kind: T.DataType, tolerance: float = 1e-9) -> Column:
+    """Equal values of a type: floating numbers up to a tolerance, arrays and structs part by part.
+
+    Two nulls are equal, one null is not; arrays of different length are not.
+    """
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        same = (a == b) | (F.abs(a - b) < tolerance)
+    elif isinstance(kind, T.ArrayType):
+        parts = F.zip_with(a, b, lambda x, y: deep_equal(x, y, kind.elementType, tolerance))
+        same = (F.size(a) == F.size(b)) & F.forall(parts, lambda x: x)
+    elif isinstance(kind, T.StructType):
+        same = reduce(Column.__and__, [deep_equal(a[f.name], b[f.name], f.dataType, tolerance) for f in kind.fields], F.lit(True))
+    else:
+        same = a == b
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(same)
+
+
+def compare_outputs(original: DataFrame, optimized: DataFrame, keys: list[str], output: str, tolerance: float = 1e-9) -> DataFrame:
+    """(keys, equal): outputs of both sides case by case; a case that one side lacks is not equal."""
+    kind = original.schema[output].dataType
+    a = original.select(*keys, F.col(output).alias("_a"), F.lit(True).alias("_in_a"))
+    b = optimized.select(*keys, F.col(output).alias("_b"), F.lit(True).alias("_in_b"))
+    both = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
+    return a.join(b, keys, "full").select(*keys, (both & deep_equal(F.col("_a"), F.col("_b"), kind, tolerance)).alias("equal"))

@@ -41,3 +41,33 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
             return new.select("node", F.col("label").alias("component"))
         labels = new.select("node", "label")
     raise ValueError(f"no fixed point after {most} rounds")
+
+
+def shortest_paths(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
+    """(node, distance) of all nodes that ``start`` (node) reaches over (src, dst, weight) edges of weights >= 0.
+
+    Rounds of relaxation: only nodes whose distance fell in the last round send on, and distances
+    are kept in tables with their lineage cut.
+    """
+    best = persist_table(start.distinct().withColumn("distance", F.lit(0.0)), "paths")
+    changed = best
+    for _ in range(most):
+        offers = changed.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.col("distance") + F.col("weight")).alias("offer"))
+        both = best.join(offers, F.col("node") == F.col("dst"), "full")
+        fell = F.coalesce(F.col("offer") < F.col("distance"), F.col("distance").isNull())
+        new = persist_table(both.select(F.coalesce("node", "dst").alias("node"), F.least("distance", "offer").alias("distance"), fell.alias("fell")), "paths")
+        best, changed = new.select("node", "distance"), new.where("fell").select("node", "distance")
+        if changed.isEmpty():
+            return best
+    raise ValueError(f"no fixed point after {most} rounds")
+
+
+def islands(cells: DataFrame) -> DataFrame:
+    """(component, n) of the cells (x, y) that touch side by side."""
+    name = lambda x, y: F.concat_ws(",", x.cast("string"), y.cast("string"))
+    own = cells.select("x", "y").distinct()
+    near = own.select("x", "y", F.explode(F.array(F.struct((F.col("x") + 1).alias("u"), F.col("y").alias("v")), F.struct(F.col("x").alias("u"), (F.col("y") + 1).alias("v")))).alias("o"))
+    edges = near.select(name(F.col("x"), F.col("y")).alias("src"), F.col("o.u").alias("x"), F.col("o.v").alias("y")).join(own, ["x", "y"])
+    edges = edges.select("src", name(F.col("x"), F.col("y")).alias("dst"))
+    alone = own.select(name(F.col("x"), F.col("y")).alias("src"), name(F.col("x"), F.col("y")).alias("dst"))
+    return components(edges.unionByName(alone)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))

@@ -57,14 +57,30 @@ def two_sum_first(df: DataFrame, group: str, position: str, value: str, target:
     return pairs.select(F.col("_g").alias(group), (-F.col("_p._minus")).alias("i"), F.col("_p._j").alias("j"))
 
 
-def three_sum(df: DataFrame, value: str, target: int) -> DataFrame:
-    """Different triplets x <= y <= z of rows that add up to ``target``."""
+def three_sum(df: DataFrame, value: str, target: int, buckets: int = 64) -> DataFrame:
+    """Different triplets x <= y <= z of rows that add up to ``target``.
+
+    Values fall into ``buckets`` ranges of equal width. Which triples of ranges can reach the target
+    is worked out over the ranges alone, and both joins are then equi-joins on ranges and values, so
+    no nested loop over all pairs of values is planned. An answer may hold every pair of values.
+    """
     counts = value_counts(df, value)
-    a = counts.select(F.col("v").alias("x"), F.col("n").alias("n_x"))
-    b = counts.select(F.col("v").alias("y"), F.col("n").alias("n_y"))
+    low, high = counts.agg(F.min("v"), F.max("v")).first()
+    if low is None:
+        return counts.select(F.col("v").alias("x"), F.col("v").alias("y"), F.col("v").alias("z")).limit(0)
+    width = (high - low) // buckets + 1
+    # Per range of x the ranges of y that some z completes: at most buckets ** 2 literal entries.
+    fits = {
+        i: [j for j in range(i, buckets) if any(low * 3 + (i + j + k) * width <= target <= low * 3 + (i + j + k + 3) * width - 3 for k in range(j, buckets))]
+        for i in range(buckets)
+    }
+    table = F.array(*[F.array(*map(F.lit, fits[i])).cast("array<int>") for i in range(buckets)])
+    bucket = ((F.col("v") - low) / width).cast("int")
+    a = counts.select(F.col("v").alias("x"), F.col("n").alias("n_x"), F.explode(F.get(table, bucket)).alias("j"))
+    b = counts.select(F.col("v").alias("y"), F.col("n").alias("n_y"), bucket.alias("j"))
     c = counts.select(F.col("v").alias("z"), F.col("n").alias("n_z"))
-    pairs = a.join(b, F.col("x") <= F.col("y"))
-    found = pairs.join(c, (F.col("z") == F.lit(target) - F.col("x") - F.col("y")) & (F.col("y") <= F.col("z")))
+    pairs = a.join(b, "j").where(F.col("x") <= F.col("y"))
+    found = pairs.join(c, F.col("z") == F.lit(target) - F.col("x") - F.col("y")).where(F.col("y") <= F.col("z"))
     enough = (
         ((F.col("x") < F.col("y")) | (F.col("n_x") > 1))
         & ((F.col("y") < F.col("z")) | (F.col("n_y") > 1))
@@ -274,6 +290,52 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> Dat
 
 
 def repeats(df: DataFrame, value: str, position: str) -> DataFrame:
-    """Rows whose value stood at an earlier position."""
-    seen = F.row_number().over(Window.partitionBy(value).orderBy(position))
-    return df.withColumn("seen", seen).where("seen > 1").drop("seen")
+    """Rows whose value stood at an earlier position; positions are unique.
+
+    The first positions come from a map-side aggregate, so a value of very many rows is in no one window.
+    """
+    first = df.groupBy(F.col(value).alias("_v")).agg(F.min(position).alias("_first"))
+    return df.join(first, df[value].eqNullSafe(F.col("_v"))).where(F.col(position) > F.col("_first")).drop("_v", "_first")
+
+
+def pairs_used_once(df: DataFrame, value: str, target: int) -> DataFrame:
+    """One row: pairs that add up to ``target`` when every row is used at most once."""
+    counts = value_counts(df, value)
+    a = counts.select(F.col("v").alias("x"), F.col("n").alias("n_x"))
+    b = counts.select(F.col("v").alias("y"), F.col("n").alias("n_y"))
+    both = a.join(b, (F.col("y") == F.lit(target) - F.col("x")) & (F.col("x") <= F.col("y")))
+    number = F.when(F.col("x") == F.col("y"), F.expr("n_x div 2")).otherwise(F.least("n_x", "n_y"))
+    return both.agg(F.coalesce(F.sum(number), F.lit(0)).cast("long").alias("n_pairs"))
+
+
+def position_in(values: Column, target: Column) -> Column:
+    """Index of the first element that equals ``target``, -1 if there is none."""
+    return F.coalesce(F.array_position(values, target) - 1, F.lit(-1)).cast("long")
+
+
+def is_anagram(a: Column, b: Column) -> Column:
+    return sorted_letters(F.lower(a)) == sorted_letters(F.lower(b))
+
+
+def top_by_size(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """The k rows of the greatest absolute value, ties to the smaller key."""
+    return df.select(key, value).where(F.col(value).isNotNull()).orderBy(F.desc(F.abs(value)), key).limit(k)
+
+
+def longest_common(a: str, b: str) -> Column:
+    """Length of the longest common subsequence of two text columns: one row of the table folded over ``a``."""
+    return F.expr(
+        f"aggregate(split({a}, ''), transform(sequence(0, length({b})), x -> 0), (row, c) -> aggregate(sequence(1, length({b})), array(0), "
+        f"(new, j) -> concat(new, array(IF(substr({b}, j, 1) = c, row[j - 1] + 1, greatest(row[j], element_at(new, -1)))))), row -> element_at(row, -1))"
+    )
+
+
+def knapsack(weights: Column, values: Column, capacity: int) -> Column:
+    """The greatest value of items, each used once, whose weights fit: one row of the table folded over the items."""
+    start = F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda _: F.lit(0).cast("long"))
+
+    def step(row: Column, item: Column) -> Column:
+        return F.transform(row, lambda best, at: F.when(at >= item["w"], F.greatest(best, F.get(row, (at - item["w"]).cast("int")) + item["v"])).otherwise(best))
+
+    items = F.zip_with(weights, values, lambda w, v: F.struct(w.cast("long").alias("w"), v.cast("long").alias("v")))
+    return F.aggregate(items, start, step, lambda row: F.element_at(row, -1))

@@ -54,11 +54,11 @@ def forest_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    """The rate limit as a stream over the events file, run to its end."""
+    """The rate limit as a stream over the events file, run to its end: windows that the watermark has passed."""
     batch = table(spark, d, "events")
     events = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     late = streams.rate_windows(events, "user_id", "ts", "1 hour", 1)
-    return streams.drain(late, "rate").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "n")
+    return streams.drain(late, "rate", "append").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "n")
 
 
 def synthetic_folding(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +93,8 @@ ORACLES = {
         SELECT level, n FROM c WHERE n > 0""",
     "stream_rate_limit": """
         SELECT user_id, strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS n
-        FROM events GROUP BY 1, 2 HAVING count(*) > 1""",
+        FROM events GROUP BY 1, 2, time_bucket(INTERVAL 1 hour, ts)
+        HAVING count(*) > 1 AND time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 1 day""",
     "synthetic_folding": f"""
         WITH r AS (SELECT unnest(range((SELECT count(*) FROM simple_dataset_generator))) AS id),
              d AS (SELECT id, {_draw('a', 1, 20)} AS a, {_draw('b', 1, 10)} AS b, {_draw('op', 0, 5)} AS op FROM r),

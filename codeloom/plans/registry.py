@@ -12,6 +12,7 @@ from codeloom.plans import (
     dataset_queries,
     feedback_queries,
     golden_queries,
+    report_queries,
     source_queries,
     syntax_queries,
     text_queries,
@@ -21,7 +22,7 @@ from codeloom.plans import (
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-MODULES = (feedback_queries, dataset_queries, text_queries, text_rule_queries, algorithm_queries, syntax_queries, golden_queries, source_queries, advanced_queries)
+MODULES = (feedback_queries, dataset_queries, text_queries, text_rule_queries, algorithm_queries, syntax_queries, golden_queries, source_queries, report_queries, advanced_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -9,7 +9,11 @@ from codeloom.plans.durable import shared_dir
 
 
 def rate_windows(events: DataFrame, key: str, time: str, width: str, most: int, late: str = "1 day") -> DataFrame:
-    """Windows in which a key has more than ``most`` events; state older than ``late`` goes."""
+    """Windows in which a key has more than ``most`` events.
+
+    In append mode a window comes out, and its state goes, once the watermark passes its end; events
+    later than ``late`` are left out.
+    """
     own = events.withColumn("at", F.col(time).cast("timestamp")).withWatermark("at", late)
     counts = own.groupBy(key, F.window("at", width).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return counts.where(F.col("n") > most).select(key, F.col("w.start").alias("start"), "n")
@@ -21,6 +25,17 @@ def cached_once(requests: DataFrame, code: str, time: str, ttl: str = "1 hour")
     return own.withWatermark("at", ttl).dropDuplicatesWithinWatermark(["code_hash"])
 
 
+def running_stats(feedback: DataFrame, rating: str, kind: str) -> DataFrame:
+    """Rows, mean of the given ratings and rows per kind so far, of a stream (complete mode: one row a kind)."""
+    rated = F.when(F.col(rating) > 0, F.col(rating))
+    return feedback.groupBy(F.lower(F.trim(kind)).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(rated).alias("rated_sum"), F.count(rated).alias("n_rated"))
+
+
+def unexpired(tokens: DataFrame, issued: str, now: str, hours: int = 1) -> DataFrame:
+    """Rows whose token is at most ``hours`` old at the time in column ``now``."""
+    return tokens.where((F.col(now) >= F.col(issued)) & (F.col(now) < F.col(issued) + F.expr(f"INTERVAL {hours} HOURS")))
+
+
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there now and return its last result as a table."""
     spark: SparkSession = stream.sparkSession
