@@ -422,6 +422,20 @@ ORACLES = {
     "nation_distances": """
         SELECT n_nationkey AS node, min(a.range + 3.5::DOUBLE * b.range)::DOUBLE AS distance
         FROM nation, range(0, 25) a, range(0, 25) b WHERE (a.range + 7 * b.range) % 25 = n_nationkey GROUP BY 1""",
+    "golden_explanations": "SELECT id, 'Hash Map (80.0%, High)' AS summary, patterns, CASE WHEN depth > 1 THEN 'Hash Map:Medium,Hash Set:Medium,Two Pointers:Medium' ELSE '' END AS alternatives, "
+    "'O(n^' || depth || ') → O(n)' AS impact, top FROM (" + values(
+        ["id", "patterns", "depth", "top"],
+        [
+            (1, "nested_loops_detected,equality_comparisons,sum_operations,return_in_loop,target_variable", 2, "nested_loops,sum_pattern,pair_pattern,for_loops,lines_of_code"),
+            (2, "sum_operations", 0, "lines_of_code,function_calls"),
+            (3, "equality_comparisons,sum_operations", 1, "nested_loops,lines_of_code,variables,conditional_complexity,conditionals"),
+            (4, "nested_loops_detected,sum_operations,return_in_loop", 3, "nested_loops,for_loops,lines_of_code,function_calls,range_usage"),
+            (5, "", 0, "function_calls,lines_of_code"),
+            (6, "list_operations,return_in_loop", 1, "nested_loops,lines_of_code,for_loops,function_calls,list_operations"),
+            (7, "", 0, ""), (8, "", 0, ""), (9, "", 0, "lines_of_code,function_calls"), (10, "", 0, "for_loops"),
+            (11, "nested_loops_detected,equality_comparisons,return_in_loop", 2, "nested_loops,for_loops,lines_of_code,function_calls,range_usage"),
+        ],
+    ) + ")",
     "golden_tables": values(["id", "common", "bag"], [(1, 4, 90), (2, 0, 90), (3, 5, 90), (4, 4, 90)]),
     "three_sum_small": """
         SELECT a.n_nationkey AS x, b.n_nationkey AS y, c.n_nationkey AS z FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey
