@@ -209,4 +209,32 @@ def p3_representatives(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_representatives": p3_representatives}
-ORACLES: dict[str, str] = {}
+
+
+def _plain(x: str) -> str:
+    return rf"regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}+*/%<>=!&|^~@-]', '', 'g')"
+
+
+def keys_sql(tables: str) -> str:
+    """CTEs: ``t`` (rec_table, id, x) as given and ``k`` (rec_table, id, canon), the keys of the texts that have one.
+
+    The leaves of a JSON object with their canonical paths, sorted, stand for its fields in any order.
+    """
+    path, leaf = _plain("fullkey"), f"CASE WHEN e.type = 'VARCHAR' THEN '\"' || {_plain("e.atom->>'$'")} ELSE coalesce(e.atom::VARCHAR, e.type) END"
+    bare = "trim(x, chr(65279) || ' ' || chr(9) || chr(13) || chr(10))"
+    return f"""
+    WITH t AS ({tables}),
+         o AS (SELECT rec_table, id, {bare} AS j FROM t WHERE starts_with({bare}, '{{') AND json_valid({bare})),
+         f AS (SELECT o.rec_table, o.id, '{{' || array_to_string(list_sort(list({path} || ':' || {leaf})), ',') AS canon FROM o, json_tree(o.j) AS e
+               WHERE e.type NOT IN ('OBJECT', 'ARRAY') GROUP BY 1, 2),
+         k AS (SELECT t.rec_table, t.id, coalesce(f.canon, {_plain('x')}) AS canon FROM t LEFT JOIN f USING (rec_table, id)
+               WHERE regexp_matches({_plain('x')}, '[\\p{{L}}\\p{{N}}]'))"""
+
+
+_COPIES = keys_sql("SELECT 'feedback' AS rec_table, id, original_code AS x FROM feedback UNION ALL SELECT 'optimization_request', request_id, code FROM optimization_request") + """,
+         c AS (SELECT *, min(id) OVER (PARTITION BY rec_table, canon) AS keep_id FROM k)"""
+
+ORACLES = {
+    "p3_found": _COPIES + " SELECT rec_table, keep_id, id AS copy_id FROM c WHERE id <> keep_id",
+    "p3_representatives": _COPIES + " SELECT rec_table, keep_id, count(*) AS n_copies FROM c GROUP BY 1, 2 HAVING count(*) > 1",
+}

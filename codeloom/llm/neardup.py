@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.canon import canonical_json, canonical_key, canonical_text
+from codeloom.llm.canon import canonical_json, canonical_key, canonical_text, keys_sql
 from codeloom.llm.shingles import list_array, mix, run_sets, slices
 from codeloom.llm.spots import bit_filter, hits, pick, spot
 from codeloom.plans.durable import persist_table
@@ -444,4 +444,15 @@ def p2_links(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_links": p2_links}
-ORACLES: dict[str, str] = {}
+
+# All pairs that share a run, without copies.
+_PAIRS = keys_sql("SELECT 'feedback' AS rec_table, id, original_code AS x FROM feedback UNION ALL SELECT 'optimization_candidate', candidate_id, optimized_code FROM optimization_candidate") + r""",
+         w AS (SELECT rec_table, id, regexp_extract_all(lower(x), '[\p{L}\p{N}_]+') AS ws FROM t WHERE x IS NOT NULL),
+         r AS (SELECT DISTINCT rec_table, id, hash(ws[i], ws[i + 1], ws[i + 2]) AS run FROM (SELECT *, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+         n AS (SELECT rec_table, id, count(*) AS n FROM r GROUP BY 1, 2),
+         s AS (SELECT a.rec_table, a.id AS id_a, b.id AS id_b, count(*) AS n FROM r a JOIN r b ON a.rec_table = b.rec_table AND a.run = b.run AND a.id < b.id GROUP BY 1, 2, 3)
+    SELECT s.rec_table, id_a, id_b FROM s JOIN n a ON a.rec_table = s.rec_table AND a.id = id_a JOIN n b ON b.rec_table = s.rec_table AND b.id = id_b
+    JOIN k x ON x.rec_table = s.rec_table AND x.id = id_a JOIN k y ON y.rec_table = s.rec_table AND y.id = id_b
+    WHERE 10 * s.n >= 7 * (a.n + b.n - s.n) AND x.canon <> y.canon"""
+
+ORACLES = {"p2_found": _PAIRS}
