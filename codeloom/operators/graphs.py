@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.plans.durable import persist_table
+from codeloom.plans.durable import forget, persist_table
 
 
 def bfs_levels(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
@@ -14,10 +14,12 @@ def bfs_levels(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFram
     seen = frontier
     for level in range(1, most + 1):
         reached = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        before = frontier, seen
         frontier = persist_table(reached.join(seen, "node", "left_anti").withColumn("level", F.lit(level).cast("long")), "bfs")
         if frontier.isEmpty():
             return seen
         seen = persist_table(seen.unionByName(frontier), "bfs-seen")
+        forget(*before)
     raise ValueError(f"more than {most} levels")
 
 
@@ -31,15 +33,17 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
         edges.select("src", "dst").where("src <> dst").union(edges.select("dst", "src").where("src <> dst")).distinct(), "edges"
     )
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    labels = persist_table(nodes.withColumn("label", F.col("node")), "labels")
+    labels = last = persist_table(nodes.withColumn("label", F.col("node")), "labels")
     for _ in range(most):
         near = both.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "node", "left").select("node", F.least("label", "near").alias("next"), "label")
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("further"))
         new = persist_table(spread.join(jump, "next").select("node", F.least("next", "further").alias("label"), F.col("label").alias("old")), "labels")
+        forget(last)
         if new.where("label <> old").isEmpty():
+            forget(both)
             return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
+        labels, last = new.select("node", "label"), new
     raise ValueError(f"no fixed point after {most} rounds")
 
 
@@ -50,13 +54,14 @@ def shortest_paths(edges: DataFrame, start: DataFrame, most: int = 1000) -> Data
     are kept in tables with their lineage cut.
     """
     best = persist_table(start.distinct().withColumn("distance", F.lit(0.0)), "paths")
-    changed = best
+    changed = last = best
     for _ in range(most):
         offers = changed.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.col("distance") + F.col("weight")).alias("offer"))
         both = best.join(offers, F.col("node") == F.col("dst"), "full")
         fell = F.coalesce(F.col("offer") < F.col("distance"), F.col("distance").isNull())
         new = persist_table(both.select(F.coalesce("node", "dst").alias("node"), F.least("distance", "offer").alias("distance"), fell.alias("fell")), "paths")
-        best, changed = new.select("node", "distance"), new.where("fell").select("node", "distance")
+        forget(last)
+        best, changed, last = new.select("node", "distance"), new.where("fell").select("node", "distance"), new
         if changed.isEmpty():
             return best
     raise ValueError(f"no fixed point after {most} rounds")

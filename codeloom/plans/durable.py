@@ -38,4 +38,20 @@ def persist_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codeloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved.__dict__["_saved"] = path
+    return saved
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what persist_table wrote for these frames.
+
+    Only for tables that nothing unsaved reads any more: whatever was made of them must have been saved
+    itself, so that a lost executor needs them no longer. Frames of another origin are left alone.
+    """
+    for table in tables:
+        path = table.__dict__.pop("_saved", None)
+        if path is not None:
+            jvm = table.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

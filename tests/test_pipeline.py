@@ -116,3 +116,54 @@ def test_files(spark, tmp_path):
     pairs = spark.createDataFrame([("a", "b"), ("c", None)], "x string, y string")
     files.write_csv(pairs, str(tmp_path / "p.csv"))
     assert files.read_pairs_csv(spark, str(tmp_path / "p.csv"), "x", "y").count() == 1
+
+
+def test_forget(spark):
+    import os
+
+    from codeloom.plans.durable import forget, persist_table
+
+    saved = persist_table(spark.range(3).toDF("id"), "test")
+    path = saved.__dict__["_saved"]
+    assert saved.count() == 3 and os.path.isdir(path)
+    forget(saved, spark.range(1))
+    assert not os.path.exists(path)
+
+
+def test_paths_islands_and_tables(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (3, 4, 0.5), (9, 1, 1.0)], "src long, dst long, weight double")
+    found = graphs.shortest_paths(edges, spark.createDataFrame([(1,)], "node long"))
+    assert {r.node: r.distance for r in found.collect()} == {1: 0.0, 2: 1.0, 3: 2.0, 4: 2.5}
+    cells = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (5, 5), (5, 5), (7, 0)], "x long, y long")
+    assert sorted(r.n for r in graphs.islands(cells).collect()) == [1, 1, 3]
+
+
+def test_outputs_and_splits(spark):
+    from pyspark.sql import types as T
+
+    kind = T.ArrayType(T.StructType([T.StructField("v", T.DoubleType()), T.StructField("s", T.StringType())]))
+    rows = [(1, [(1.0, "a")], [(1.0 + 1e-12, "a")]), (2, [(1.0, "a")], [(1.1, "a")]), (3, None, None), (4, [(1.0, None)], [(1.0, None)]), (5, [], None), (6, [(1.0, "a")], [])]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("k", T.LongType()), T.StructField("a", kind), T.StructField("b", kind)]))
+    found = {r.k: r.same for r in df.select("k", D.deep_equal(F.col("a"), F.col("b"), kind).alias("same")).collect()}
+    assert found == {1: True, 2: False, 3: True, 4: True, 5: False, 6: False}
+    ids = spark.range(1003).toDF("id")
+    sizes = {r.split: r["count"] for r in D.exact_split(ids, "id", {"train": 0.8, "validation": 0.1, "test": 0.1}).groupBy("split").count().collect()}
+    assert sizes == {"train": 802, "validation": 100, "test": 101}
+    with pytest.raises(ValueError):
+        D.exact_split(ids, "id", {"a": 0.5, "b": 0.4})
+
+
+def test_models_round_trip(spark, tmp_path):
+    from codeloom.operators import models
+
+    rows = [(i, float(i % 2), float(i % 3), "even" if i % 2 == 0 else "odd") for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label string")
+    model = models.fit_forest(df, ["a", "b"], "label", trees=5, depth=3)
+    models.save(model, str(tmp_path / "m"))
+    told = models.predict(models.load(str(tmp_path / "m")), df)
+    assert told.where("predicted <> label").count() == 0
+    top = models.top_classes(told, "id", 2).where("id = 3").orderBy("place").collect()
+    assert [r.label for r in top] == ["odd", "even"] and top[0].score + top[1].score == pytest.approx(1.0)
+    assert list(models.feature_importance(model, ["a", "b"]))[0] == "a"
+    assert models.cross_validate(df, ["a"], "label", "id", folds=2, trees=3, depth=2) == (1.0, 0.0)
+    assert models.grid_search(df, ["a"], "label", "id", (3,), (2,))["accuracy"] == 1.0
