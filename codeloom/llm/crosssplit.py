@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.shingles import list_array, mix, run_sets, slices
 from codeloom.llm.spots import bit_filter, hits, pick, spot
-from codeloom.plans.durable import persist_table
+from codeloom.plans.durable import forget, persist_table
 from codeloom.sources.tables import table
 
 WORDS = 3
@@ -253,7 +253,9 @@ def class_pairs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = weighted_cosine_pairs(own, frequent_terms(vectors), copies=copies)
     near = near.where(OF * F.col("shared") >= SHARE * (F.col("nx") + F.col("ny") - F.col("shared"))).select("field", "x", "y")
     same = several.where(F.col("sides") == TRAIN + EVALUATION).select("field", F.col("cls").alias("x"), F.col("cls").alias("y"))
-    return persist_table(near.unionByName(same), "pairs"), copies
+    pairs = persist_table(near.unionByName(same), "pairs")
+    forget(vectors, several)
+    return pairs, copies
 
 
 def _members(pairs: DataFrame, copies: DataFrame, end: str, side: int, name: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.canon import canonical_json, canonical_key, canonical_text, keys_sql
 from codeloom.llm.shingles import list_array, mix, run_sets, slices
 from codeloom.llm.spots import bit_filter, hits, pick, spot
-from codeloom.plans.durable import persist_table
+from codeloom.plans.durable import forget, persist_table
 from codeloom.sources.tables import table
 
 WORDS = 3
@@ -278,13 +278,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield finish(held, again)
 
 
-def _split(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, large rows) of NODES rows, by one shuffle."""
+def _split(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, large rows, the saved table of both) of NODES rows, by one shuffle."""
     found = persist_table(
         nodes.repartition("node", "salt").sortWithinPartitions("node", "salt").mapInArrow(_scan, SCANNED), "nodes"
     )
     pairs = found.where(F.col("at") == PAIR).select("a", "b")
-    return pairs, found.where(F.col("at") != PAIR).select(F.col("a").alias("key"), F.col("b").alias("node"), "at")
+    return pairs, found.where(F.col("at") != PAIR).select(F.col("a").alias("key"), F.col("b").alias("node"), "at"), found
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,32 +348,38 @@ def similar_classes(texts: DataFrame, found: DataFrame, copies: DataFrame) -> Da
     """(a, b), a < b, of similar classes by the chosen-path join.
 
     ``found`` has FEATURES of all rows; those in ``copies`` take no part. Rows that may be copies
-    go through a join, all others start where they are.
+    go through a join, all others start where they are. ``found`` and what is saved on the way are removed
+    once they are no longer read.
     """
     columns = ("key", "n", "mins", *SKETCH)
     skip = bit_filter(copies, "key")
     context = texts.sparkSession.sparkContext
     again = pick(found.select(*columns), ("key",), skip).join(copies.select("key"), "key", "left_anti")
     own = found.select(*columns, spot("key")).mapInArrow(_roots(context.broadcast(skip)), NODES)
-    pairs, large = _split(own.unionByName(again.select(*columns, spot("key")).mapInArrow(_roots(context.broadcast(None)), NODES)))
-    candidates = [pairs]
+    pairs, large, saved_nodes = _split(own.unionByName(again.select(*columns, spot("key")).mapInArrow(_roots(context.broadcast(None)), NODES)))
+    candidates, done = [pairs], [saved_nodes]
     for depth in range(DEPTH):
         if large.isEmpty():
             break
         rows = large.join(found.select(*columns), "key")
-        pairs, large = _split(rows.select("node", "at", *columns).mapInArrow(_children(depth), NODES))
+        pairs, large, saved_nodes = _split(rows.select("node", "at", *columns).mapInArrow(_children(depth), NODES))
         candidates.append(pairs)
+        done.append(saved_nodes)
     if not large.isEmpty():
         rest = large.select("key").distinct()
         picked = texts_of(texts, rest).join(rest, "key").mapInArrow(_sets, "key long, runs array<long>")
-        candidates.append(prefix_candidates(persist_table(picked, "rest")))
+        done.append(persist_table(picked, "rest"))
+        candidates.append(prefix_candidates(done[-1]))
     joined = persist_table(reduce(DataFrame.unionByName, candidates).distinct(), "candidates")
+    forget(*done, found)
     wanted = joined.select(F.col("a").alias("key")).unionAll(joined.select("b"))
     picked = persist_table(texts_of(texts, wanted), "texts")
     a = picked.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     b = picked.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     both = joined.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return persist_table(both.mapInArrow(_verify, "a long, b long"), "pairs")
+    pairs = persist_table(both.mapInArrow(_verify, "a long, b long"), "pairs")
+    forget(joined, picked)
+    return pairs
 
 
 CLASS = ("c1", "c2", "sid", "n", "rec")
@@ -390,6 +396,7 @@ def near_duplicates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = persist_table(classes.where("size > 1").drop("size"), "classes")
     keys = pick(found.select(*CLASS, "key"), CLASS, bit_filter(several, *CLASS))
     copies = persist_table(keys.join(several, list(CLASS)).where("key <> cls").select("key", "cls"), "copies")
+    forget(several)
     return similar_classes(texts, found, copies), copies
 
 

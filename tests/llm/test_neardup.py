@@ -55,7 +55,7 @@ def expand(pairs, copies):
     return out
 
 
-@pytest.mark.parametrize("limit", [250, 3])
+@pytest.mark.parametrize("limit", [600, 3])
 def test_against_all_pairs(spark, limit, monkeypatch):
     monkeypatch.setattr(neardup, "BRUTE_FORCE", limit)  # forces splits and the exact remainder
     rows = corpus(limit, 0.5)
@@ -115,7 +115,7 @@ def test_scan_joins_rows_across_batches():
     import numpy as np
     import pyarrow as pa
 
-    node = np.repeat([1, 2, 3], [3, 2, 300])
+    node = np.repeat([1, 2, 3], [3, 2, neardup.BRUTE_FORCE + 50])
     n = len(node)
     columns = [node, np.zeros(n), np.arange(n), np.zeros(n), np.full(n, 10), np.zeros(n)]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
