@@ -201,7 +201,7 @@ def max_product(df: DataFrame, group: str, position: str, value: str) -> DataFra
         lo = F.least(v, state["hi"] * v, state["lo"] * v)
         return F.struct(hi.alias("hi"), lo.alias("lo"), F.greatest(hi, F.coalesce(state["best"], hi)).alias("best"))
 
-    folded = F.aggregate(rows, start, step, lambda state: state["best"])
+    folded = F.aggregate(rows, start, step, lambda state: F.when(state["best"] == 0, 0.0).otherwise(state["best"]))  # no negative zero
     return df.where(F.col(value).isNotNull()).groupBy(group).agg(folded.alias("max_product"))
 
 

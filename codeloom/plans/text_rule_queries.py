@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions import dims, text
+from codeloom.functions import dims, generate, text
 from codeloom.sources.tables import table
 
 
@@ -82,6 +82,13 @@ def text_routes(spark: SparkSession, d: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+def generated_code(spark: SparkSession, d: str) -> DataFrame:
+    """Code generated for each feedback row from its predicted technique."""
+    code = F.col("original_code")
+    rows = table(spark, d, "feedback").where("original_code IS NOT NULL")
+    return rows.select("id", F.md5(generate.generated(code, F.coalesce("predicted_technique", F.lit("")))).alias("digest"))
+
+
 def algorithms_recognized(spark: SparkSession, d: str) -> DataFrame:
     """Rows per whole algorithm recognized; DuckDB's regular expressions have no back references, so no SQL."""
     rows = table(spark, d, "optimization_result").where("original_code IS NOT NULL")
@@ -90,7 +97,7 @@ def algorithms_recognized(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (operation_counts, class_words, code_patterns, literal_folds, offline_rewrites, text_scores, text_routes, algorithms_recognized)
+    for f in (operation_counts, class_words, code_patterns, literal_folds, offline_rewrites, text_scores, text_routes, generated_code, algorithms_recognized)
 }
 
 
@@ -122,6 +129,13 @@ _PATTERNS = {
     "list_operations": f"(contains({_C}, 'append(') OR contains({_C}, '.extend('))", "return_in_loop": f"(contains({_C}, 'return') AND contains({_C}, 'for'))",
     "target_variable": f"contains({_C}, 'target')", "duplicate_keywords": f"contains(lower({_C}), 'dup')",
 }
+def _filled(template: str) -> str:
+    text_ = "'" + template.replace("'", "''") + "'"
+    for slot, part in (("<name>", "name"), ("<args>", "args"), ("<first>", "first"), ("<second>", "second")):
+        text_ = f"replace({text_}, '{slot}', {part})"
+    return text_
+
+
 _BOTH = f"contains({_C}, 'for i in range') AND contains({_C}, 'for j in range')"
 
 ORACLES = {
@@ -163,6 +177,12 @@ ORACLES = {
                CASE WHEN contains({_C}, 'for') THEN 'O(n)' ELSE 'O(1)' END AS demo_class,
                printf('%.1f%%', floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, confidence_score)) * 1000 + 0.5) / 10) AS confidence
         FROM r""",
+    "generated_code": rf"""
+        WITH h AS (SELECT *, regexp_extract({_C}, 'def [A-Za-z0-9_]+\(([^)]*)\):', 1) AS p FROM feedback WHERE {_C} IS NOT NULL),
+             r AS (SELECT id, {_C}, predicted_technique AS t, coalesce(nullif(regexp_extract({_C}, 'def ([A-Za-z0-9_]+)\(', 1), ''), 'main') AS name, coalesce(nullif(trim(p), ''), 'items, target') AS args,
+                          coalesce(nullif(regexp_extract(string_split(p, ',')[1], '[A-Za-z_][A-Za-z0-9_]*'), ''), 'items') AS first,
+                          coalesce(nullif(regexp_extract(string_split(p, ',')[2], '[A-Za-z_][A-Za-z0-9_]*'), ''), 'target') AS second FROM h)
+        SELECT id, md5(CASE t {" ".join(f"WHEN '{n}' THEN {_filled(x)}" for n, x in generate.TEMPLATES.items())} ELSE {_C} END) AS digest FROM r""",
     "text_routes": rf"""
         WITH r AS (SELECT *, regexp_extract({_C}, 'def ([A-Za-z0-9_]+)\((.*?)\):', 1) AS f, lower({_C}) AS low FROM feedback WHERE {_C} IS NOT NULL)
         SELECT CASE WHEN {_BOTH} AND contains({_C}, 'total +=') AND (contains({_C}, 'range(i)') OR contains({_C}, 'range(n)')) THEN 'Mathematical formula'

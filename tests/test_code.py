@@ -109,3 +109,20 @@ def test_per_snippet_rows(spark):
     assert {r.id: r.valid for r in syntax.features(df, "id", "code").collect()} == {1: True, 2: True, 3: False, 4: False}
     assert syntax.functions(df, "id", "code").count() == 2
     assert rewrite.rewrites(df.limit(0), "id", "code").count() == 0
+
+
+def test_generated_code_runs_as_said(spark):
+    from pyspark.sql import functions as F
+
+    from codeloom.functions import generate
+
+    rows = [(n, "def work(values: list, goal=3):\n    pass") for n in generate.TEMPLATES] + [("other", "x = 1"), ("hash_set", "no header")]
+    df = spark.createDataFrame(rows, "t string, code string").select("t", generate.generated(F.col("code"), F.col("t")).alias("made"))
+    made = [(r.t, r.made) for r in df.collect()]
+    assert made[-2] == ("other", "x = 1") and made[-1][1].startswith("def main(items, target):\n    seen = set()\n    for value in items:")
+    said = {"hash_map": [1, 2], "hash_set": True, "dynamic_programming": 6, "two_pointers": [(1, 2), (1, 2)], "sliding_window": 2, "frequency_map": {1: 2, 2: 2}}
+    for technique, code in made[:-2]:
+        names = {}
+        exec(code, names)  # noqa: S102 - our own templates
+        values = [1, 1, 2, 2]
+        assert names["work"](values, 3) == said[technique], technique
