@@ -9,7 +9,7 @@ from codeloom.functions import text
 from codeloom.operators import datasets, graphs, models, vectors
 from codeloom.plans.durable import persist_table
 from codeloom.sources import synthetic
-from codeloom.sources.tables import table
+from codeloom.sources.tables import stream_table, table
 from codeloom.streaming import feedback as streams
 
 
@@ -54,10 +54,8 @@ def forest_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    """The rate limit as a stream over the events file, run to its end: windows that the watermark has passed."""
-    batch = table(spark, d, "events")
-    events = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    late = streams.rate_windows(events, "user_id", "ts", "1 hour", 1)
+    """The rate limit as a stream over the events, run to its end: windows that the watermark has passed."""
+    late = streams.rate_windows(stream_table(spark, d, "events"), "user_id", "ts", "1 hour", 1)
     return streams.drain(late, "rate", "append").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "n")
 
 

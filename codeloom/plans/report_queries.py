@@ -11,7 +11,7 @@ from codeloom.operators import explain, graphs, models
 from codeloom.operators import relational as R
 from codeloom.plans.golden_queries import _features, snippets, values
 from codeloom.functions import syntax
-from codeloom.sources.tables import table
+from codeloom.sources.tables import stream_table, table
 from codeloom.streaming import feedback as streams
 
 
@@ -140,9 +140,8 @@ def feedback_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_feedback_stats(spark: SparkSession, d: str) -> DataFrame:
-    """The statistics of feedback as a stream over its file, run to its end."""
-    batch = table(spark, d, "feedback")
-    rows = spark.readStream.schema(batch.schema).option("pathGlobFilter", "feedback.parquet").parquet(d)
+    """The statistics of feedback as a stream over its table, run to its end."""
+    rows = stream_table(spark, d, "feedback")
     return streams.drain(streams.running_stats(rows, "user_rating", "user_feedback"), "stats")
 
 

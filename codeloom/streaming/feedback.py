@@ -42,6 +42,8 @@ def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     import uuid
 
     base = f"{shared_dir(spark)}/codeloom-{name}-{uuid.uuid4().hex}"
+    # A stream without any input runs no batch; its result is the empty table.
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")

@@ -91,6 +91,24 @@ def test_stream(spark, tmp_path):
     assert S.drain(S.cached_once(requests, "u", "t"), "once", "append").count() == 3
 
 
+@pytest.mark.parametrize("query, name", [("stream_feedback_stats", "feedback"), ("stream_rate_limit", "events")])
+def test_stream_queries_over_part_files(spark, tmp_path, query, name):
+    import __spark_entry__ as entry
+
+    rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    rows.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "one" / f"{name}.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / f"{name}.parquet"))
+    run = lambda d: sorted(map(tuple, entry.queries()[query](spark, str(tmp_path / d)).collect()), key=str)
+    assert run("many") == run("one") != []
+
+
+def test_stream_without_input(spark, tmp_path):
+    rows = spark.readStream.schema("user_rating int, user_feedback string").parquet(str(tmp_path))
+    assert S.drain(S.running_stats(rows, "user_rating", "user_feedback"), "none").collect() == []
+
+
 def test_synthetic(spark):
     rows = synthetic.folding_examples(spark, 50).collect()
     assert len(rows) == 50 and synthetic.mixture_counts(1000) == {"algorithm": 400, "folding": 300, "loop": 200, "complexity": 6}
