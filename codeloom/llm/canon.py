@@ -34,15 +34,25 @@ from codeloom.sources.tables import table
 
 # Fixed value: the operator signs that count in a comparison, beside letters and digits.
 SIGNS = r"+\-*/%<>=!&|^~@"
+KEPT_SIGNS = SIGNS.replace("\\", "")
 DROPPED = rf"[^\p{{L}}\p{{N}}{SIGNS}]+"
 _DROPPED_PY = re.compile(rf"[^\w{SIGNS}]+|_+")
 
+#: What is trimmed off a JSON object.
+JSON_SPACE = "\ufeff \t\r\n"
 #: Starts of a key: a JSON object's sorts apart from plain text, and no plain key has it.
 JSON_MARK = "{"
 
 
+#: The plain rule for ASCII texts, as tables of bytes.
+_LOWER = bytes(range(256)).lower()
+_DROPPED_ASCII = bytes(c for c in range(128) if _DROPPED_PY.match(chr(c)))
+
+
 def canonical_text(text: str) -> str:
-    """The plain rule, as the column expression of canonical_key applies it."""
+    """The plain rule, as the column expression plain_key applies it."""
+    if text.isascii():
+        return text.encode().translate(_LOWER, _DROPPED_ASCII).decode()
     return _DROPPED_PY.sub("", text.lower())
 
 
@@ -68,7 +78,7 @@ def canonical_json(text: str) -> str | None:
     An object nested too deeply for the parser (hundreds of levels) counts as plain text.
     """
     try:
-        value = json.loads(text.strip("\ufeff \t\r\n"), object_pairs_hook=_Fields)
+        value = json.loads(text.strip(JSON_SPACE), object_pairs_hook=_Fields)
         return JSON_MARK + _canonical_value(value) if isinstance(value, _Fields) else None
     except (ValueError, RecursionError):
         return None
@@ -79,17 +89,35 @@ def _json_key(texts):
     return texts.map(lambda x: None if x is None else canonical_json(x))
 
 
+def plain_key(text: F.Column) -> F.Column:
+    """The plain rule on a text column, whether or not a letter or digit is left."""
+    return F.regexp_replace(F.lower(text), DROPPED, "")
+
+
 def canonical_key(text: F.Column) -> F.Column:
     """Canonical key of a text column; null where there is nothing to compare.
 
     Only texts that begin and end like an object reach Python; the rest stays in the JVM.
     """
-    bare = F.btrim(text, F.lit("\ufeff \t\r\n"))
+    bare = F.btrim(text, F.lit(JSON_SPACE))
     shaped = F.when(bare.startswith("{") & bare.endswith("}"), text)
-    plain = F.regexp_replace(F.lower(text), DROPPED, "")
+    plain = plain_key(text)
     return F.when(plain.rlike(r"[\p{L}\p{N}]"), F.coalesce(_json_key(shaped), plain))
 
 
+def key_of(text: str | None, plain: str | None) -> str | None:
+    """canonical_key of one text, of which ``plain`` is the plain_key; it may be null if the text is ASCII."""
+    if text is None:
+        return None
+    if plain is None:
+        plain = canonical_text(text)
+    # What the plain rule keeps besides the signs are letters and digits.
+    if not plain.strip(KEPT_SIGNS):
+        return None
+    bare = text.strip(JSON_SPACE)
+    return (canonical_json(bare) if bare.startswith("{") and bare.endswith("}") else None) or plain
+
+
 def keyed_records(records: DataFrame, key: str, text: str) -> DataFrame:
     """(id, canon) of the rows that have something to compare."""
     records = records.select(F.col(key).alias("id"), F.col(text).alias("text"))

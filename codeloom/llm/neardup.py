@@ -33,11 +33,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.canon import canonical_json, canonical_key, canonical_text, keys_sql
+from codeloom.llm.canon import canonical_json, canonical_text, key_of, keys_sql, plain_key
 from codeloom.llm.shingles import list_array, mix, run_sets, slices
 from codeloom.llm.spots import bit_filter, hits, pick, spot
 from codeloom.plans.durable import forget, persist_table
@@ -91,6 +92,16 @@ SKETCH = ("sketch_1", "sketch_2")
 FEATURES = "key long, c1 long, c2 long, n int, sid long, mins array<int>, sketch_1 long, sketch_2 long"
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text, plain) to (key, c1, c2, text), two hashes of the canonical key, of the texts that have one."""
+    for batch in batches:
+        keys = list(map(key_of, *(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))))
+        own = batch.filter(pa.array([x is not None for x in keys], pa.bool_()))
+        hashes = b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in keys if x is not None)
+        c1, c2 = np.frombuffer(hashes, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([own.column(0), pa.array(c1), pa.array(c2), own.column(1)], names=["key", "c1", "c2", "text"])
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text: size and identity of its set, a sketch, a min-hash at every position."""
     for whole in batches:
@@ -126,11 +137,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def features(texts: DataFrame) -> DataFrame:
-    """FEATURES of (key, text) rows that have a run."""
-    keyed = texts.select("key", canonical_key(F.col("text")).alias("canon"), "text").where("canon IS NOT NULL")
-    return keyed.select(
-        "key", F.xxhash64("canon").alias("c1"), F.xxhash64(F.lit("second"), "canon").alias("c2"), "text"
-    ).mapInArrow(_features, FEATURES)
+    """FEATURES of (key, text) rows that have a run and a canonical key.
+
+    The plain rule is applied here only to texts that are not ASCII, as their letters are the JVM's to tell.
+    """
+    plain = F.when(F.octet_length("text") > F.length("text"), plain_key(F.col("text")))
+    return texts.select("key", "text", plain.alias("plain")).mapInArrow(lambda batches: _features(_named(batches)), FEATURES)
 
 
 NODES = "node long, salt int, key long, at int, n int, sketch_1 long, sketch_2 long"

@@ -128,3 +128,46 @@ def test_scan_joins_rows_across_batches():
 def test_empty(spark):
     pairs, copies = neardup.near_duplicates(spark.createDataFrame([], "key long, text string"))
     assert pairs.count() == 0 and copies.count() == 0
+
+
+ODD = [
+    None, "", " \t", "+-*", "_ _ _", "___", "Two Words", "\x00a\x7fB_9", "İx é", "K k", "á", "²½", "日本 語", "x y", "{'a': 1}", '{"a": "é", "B": [1.0, {"c": null}]}',
+    '﻿ {"b": "X y", "a": "\\ud800 z"}\n', '{"a": 1} tail', "{}", '{"a": 1, "a": 2}', "[1]", "{" + '"a":{' * 3000 + "}" * 3001,
+]
+
+
+def test_features_read_each_text_once_in_the_jvm(spark):
+    texts = spark.createDataFrame([(16 * i, x) for i, x in enumerate(ODD)], "key long, text string")
+    plan = neardup.features(texts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and "EvalPython" not in plan
+
+
+def test_keys_of_single_texts_are_those_of_the_column(spark):
+    from pyspark.sql import functions as F
+
+    from codeloom.llm.canon import canonical_key, key_of, plain_key
+
+    texts = spark.createDataFrame([(x,) for x in ODD], "text string")
+    rows = texts.select("text", plain_key(F.col("text")).alias("plain"), canonical_key(F.col("text")).alias("canon")).collect()
+    for r in rows:
+        assert key_of(r.text, r.plain) == r.canon
+        if r.text is not None and r.text.isascii():
+            assert key_of(r.text, None) == r.canon
+
+
+def test_words_by_table_are_those_of_the_pattern():
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from codeloom.llm import leak, shingles
+
+    draw = random.Random(5)
+    texts = ODD + ["".join(draw.choices("aB9_ .\n-éİ" if i % 2 else "aB9_ .\n-", k=draw.randint(0, 30))) for i in range(300)]
+    for whole in (pa.array(texts, pa.string()), pa.array(ODD[:8]), pa.array([None, ""], pa.string()), pa.array([], pa.string())):
+        for array in (whole, whole.slice(1)):
+            for pattern in (shingles.NOT_WORD, leak.NOT_WORD):
+                words, rows = shingles.split_words(array, pattern)
+                lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(array, "")), pattern).to_pylist()
+                assert list(zip(rows.tolist(), words.to_pylist(), strict=True)) == [(i, w) for i, ws in enumerate(lists) for w in ws if w]
+                assert np.all(np.diff(rows) >= 0)
